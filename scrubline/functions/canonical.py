@@ -15,6 +15,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -87,7 +88,7 @@ def canonical_text(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_exact(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text, na_action="ignore").astype(object)
 

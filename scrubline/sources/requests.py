@@ -33,12 +33,16 @@ def scenario_prompt(context, question):
     return F.concat(F.lit(CONTEXT_PREFIX), context, F.lit(QUESTION_SEPARATOR), question)
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """One row per scenario of multi-line JSON documents, with its prompt built."""
-    documents = spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=True)
+def scenario_rows(documents: DataFrame) -> DataFrame:
+    """One row per scenario of the documents, with its prompt built."""
     rows = documents.select("title", F.explode("scenarios").alias("s")).select("title", "s.*")
     return (
         fill_skill(rows)
         .withColumn("expect_blocked", F.coalesce("expect_blocked", F.lit(False)))
         .withColumn("prompt", scenario_prompt(F.col("context"), F.col("question")))
     )
+
+
+def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """The scenarios of JSON documents that may run over several lines."""
+    return scenario_rows(spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=True))
