@@ -1,49 +1,75 @@
 """De-identify a text column with the Safe Harbor rules.
 
-Each pass over the rules is a plain chain of ``regexp_replace`` calls with
-literal patterns, so the work stays in the JVM with compiled patterns and needs
-no shuffle.  Two things keep it cheap and exact:
-
-* a row enters a pass only if one probe pattern finds something in it, so clean
-  text costs a single scan, and passes two and three run only where the pass
-  before left something to match;
-* each token is written with a one-character mark in front that names its rule.
-  Reading off the marks gives the number of replacements per rule without
-  running any pattern a second time.
-
-The marks are Unicode non-characters, reserved for use inside a process.  Should
-a text contain one already, it is doubled up before the pass and restored after.
-No rule can see a mark: none matches across the ``[`` that follows it, except
-the URL rule, before which the marks are therefore read off.
+One probe pattern, run in the JVM, tells the texts any rule could touch from the
+clean ones.  Only the former cross over to Python, in Arrow batches, where the
+27 rules run with compiled patterns; a clean text never leaves the JVM.  No rule
+looks beyond its own row, so there is no shuffle.
+
+The rules are not a chain of column expressions on purpose: three passes make 81
+nested replacements, which the optimizer copies into every condition on the
+result and the code generator cannot compile.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.functions.rules import CATEGORIES, PASSES, RULES, probe_pattern
 
-FIRST_MARK = 0xFDD0
-ESCAPE = "\ufdef"
-OWN_MARK = "[\ufdd0-\ufdee](?=\\[)"
-ANY_MARK = "([\ufdd0-\ufdef])"
 RESULT_COLUMNS = ("redaction_count", "categories", "category_counts")
 
+SCRUBBED = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("categories", T.ArrayType(T.StringType())),
+        T.StructField("counts", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+@lru_cache(maxsize=1)
+def _compiled():
+    """The probe and the rules, compiled once per worker."""
+    probe = re.compile(probe_pattern().removeprefix("(?U)"))
+    rules = [
+        (re.compile(r.pattern), r.token.replace("$1", r"\1"), CATEGORIES.index(r.category)) for r in RULES
+    ]
+    return probe, rules
+
 
-def _mark(i: int) -> str:
-    return chr(FIRST_MARK + i)
+def _scrub_text(text: str):
+    probe, rules = _compiled()
+    counts = [0] * len(CATEGORIES)
+    for n in range(PASSES):
+        # a pass that would find nothing leaves the text as it is, and so would the next
+        if n and not probe.search(text):
+            break
+        before = sum(counts)
+        for pattern, token, category in rules:
+            text, found = pattern.subn(token, text)
+            counts[category] += found
+        if sum(counts) == before:
+            break
+    hit = [i for i, count in enumerate(counts) if count]
+    return text, sum(counts), [CATEGORIES[i] for i in hit], [counts[i] for i in hit]
 
 
-def _apply(text: Column, rules) -> Column:
-    for i, r in rules:
-        text = F.regexp_replace(text, F.lit(r.java), F.lit(_mark(i) + r.token))
-    return text
+@F.pandas_udf(SCRUBBED)
+def _scrub_batch(texts: pd.Series) -> pd.DataFrame:
+    nothing = (None, None, None, None)
+    rows = [nothing if text is None else _scrub_text(text) for text in texts]
+    return pd.DataFrame(rows, columns=SCRUBBED.names, dtype=object)
 
 
-def _marks(text: Column) -> Column:
-    found = F.array_join(F.regexp_extract_all(text, F.lit(OWN_MARK), F.lit(0)), "")
-    return F.coalesce(found, F.lit(""))
+# Marked so that conditions on the result do not run the function once more.
+_scrub_once = _scrub_batch.asNondeterministic()
 
 
 def scrub(
@@ -60,75 +86,33 @@ def scrub(
     and report no redactions.  ``counts`` adds ``category_counts``, an array of
     ``(category, n)`` for the categories hit.  A null text stays null, with a
     null count and null categories, so it is never taken for a clean one.
+
+    Conditions that do not need the result belong before this call: none is
+    pushed through it.
     """
-    numbered = list(enumerate(RULES))
-    url = next(i for i, r in numbered if r.category == "url")
     keep = [c for c in df.columns if c != out and c not in RESULT_COLUMNS]
-    probe = probe_pattern()
-
-    work = df.select(
+    touched = F.col(text_col).rlike(probe_pattern())
+    if only is not None:
+        touched = only & touched
+    done = df.select(
         *keep,
         F.col(text_col).alias("__text"),
-        F.lit("").alias("__marks"),
-        (F.lit(True) if only is None else F.coalesce(only, F.lit(False))).alias("__only"),
+        _scrub_once(F.when(touched, F.col(text_col))).alias("__done"),
     )
-    for n in range(PASSES):
-        carried = [*keep, "__text", "__marks", "__only"]
-        work = work.select(
-            *carried,
-            F.when(
-                F.col("__only") & F.col("__text").rlike(probe),
-                F.regexp_replace("__text", ANY_MARK, "$1" + ESCAPE),
-            ).alias("__in"),
-        )
-        work = work.select(*carried, _apply(F.col("__in"), numbered[:url]).alias("__early"))
-        work = work.select(
-            *carried,
-            "__early",
-            _apply(F.regexp_replace("__early", OWN_MARK, ""), numbered[url:]).alias("__late"),
-        )
-        work = work.select(
-            *keep,
-            F.coalesce(
-                F.regexp_replace("__late", f"{ANY_MARK}{ESCAPE}|{OWN_MARK}", "$1"),
-                F.col("__text"),
-            ).alias("__text"),
-            F.concat("__marks", _marks(F.col("__early")), _marks(F.col("__late"))).alias("__marks"),
-            F.col("__late").isNotNull().alias("__only"),
-        )
-
-    own = {c: "".join(_mark(i) for i, r in numbered if r.category == c) for c in CATEGORIES}
     known = F.col("__text").isNotNull()
+    none = F.array().cast("array<string>")
     result = [
-        F.col("__text").alias(out),
-        F.when(known, F.length("__marks")).alias("redaction_count"),
-        F.when(
-            known,
-            F.array_compact(
-                F.array(*[F.when(F.col("__marks").rlike(f"[{m}]"), F.lit(c)) for c, m in own.items()])
-            ),
-        ).alias("categories"),
+        F.coalesce("__done.text", "__text").alias(out),
+        F.when(known, F.coalesce("__done.n", F.lit(0))).alias("redaction_count"),
+        F.when(known, F.coalesce("__done.categories", none)).alias("categories"),
     ]
     if counts:
-        result.append(_category_counts(own).alias("category_counts"))
-    return work.select(*keep, *result)
-
-
-def _category_counts(own: dict[str, str]) -> Column:
-    def hits(marks: str) -> Column:
-        return F.length("__marks") - F.length(F.translate("__marks", marks, ""))
-
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    hits(m) > 0,
-                    F.struct(F.lit(c).alias("category"), hits(m).cast("long").alias("n")),
-                )
-                for c, m in own.items()
-            ]
+        pairs = F.zip_with(
+            "__done.categories", "__done.counts", lambda c, n: F.struct(c.alias("category"), n.alias("n"))
         )
-    )
+        no_pairs = F.array().cast("array<struct<category:string,n:bigint>>")
+        result.append(F.when(known, F.coalesce(pairs, no_pairs)).alias("category_counts"))
+    return done.select(*keep, *result)
 
 
 def category_hits(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
