@@ -55,12 +55,12 @@ def gate(
         F.when(F.col("size_error").isNull(), policy_reason(skill, prompt, allowed_skills)),
     )
     passes = F.col("size_error").isNull() & F.col("policy_reason").isNull()
-    checked = checked.withColumn("__text", F.when(passes, prompt).otherwise(F.lit("")))
+    checked = checked.withColumn("__checked", F.when(passes, prompt).otherwise(F.lit("")))
     if entities is None:
-        scrubbed = assess(scrub(checked, "__text"))
+        scrubbed = assess(scrub(checked, "__checked"))
     else:
-        scrubbed = scrub_hybrid(checked, entities, "request_id", "__text").drop("overlap_count")
-    scrubbed = scrubbed.drop("__text")
+        scrubbed = scrub_hybrid(checked, entities, "request_id", "__checked").drop("overlap_count")
+    scrubbed = scrubbed.drop("__checked")
 
     held = is_high_risk_block(F.col("residual_risk"), block_high_risk)
     decided = scrubbed.withColumn("deid_block_reason", F.when(held, F.lit(HIGH_RISK_REASON)))

@@ -198,11 +198,11 @@ def doubled_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log(events: DataFrame) -> DataFrame:
     return events.select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.lit("POST").alias("method"),
         F.expr(HANDLER).alias("handler"),
         F.expr(STATUS).alias("status"),
-        (F.col("value") / 40).alias("latency_s"),
+        (F.col("value") / 25).alias("latency_s"),
         F.expr(OUTCOME).alias("outcome"),
     )
 

@@ -170,7 +170,7 @@ DOUBLED = f"""SELECT * FROM ({AUDIT}) UNION ALL
   SELECT * REPLACE (id + 1000000000 AS id) FROM ({AUDIT}) WHERE action = 'error'"""
 MISSING = f"""SELECT min(id) AS id, entry_hash FROM ({DOUBLED})
   WHERE entry_hash NOT IN (SELECT entry_hash FROM ({EARLY})) GROUP BY entry_hash"""
-ACCESS = f"""SELECT ts, {inputs.HANDLER} AS handler, {inputs.STATUS} AS status, value / 40 AS latency_s,
+ACCESS = f"""SELECT ts, {inputs.HANDLER} AS handler, {inputs.STATUS} AS status, value / 25 AS latency_s,
   {inputs.OUTCOME} AS outcome FROM events"""
 REPLIES = f"""SELECT conv_id, turn, {inputs.REPLY_MODEL} AS model, {inputs.REPLY_TEXT} AS text,
   {inputs.RETRY_TEXT} AS retry_text FROM conversations WHERE role = 'assistant'"""
@@ -301,12 +301,12 @@ def prompt_parts() -> str:
     for find, put in prompts.SOFTENED:
         soft = f"replace({soft}, {lit(find)}, {lit(put)})"
     return scrubbed(f"SELECT request_id, prompt, skill FROM ({REQUESTS})", "prompt") + f""",
-cut AS (SELECT *, instr(scrubbed, {separator}) AS at FROM done),
-halves AS (SELECT *, CASE WHEN at > 0 THEN substr(scrubbed, 1, at - 1) ELSE scrubbed END AS head,
-  CASE WHEN at > 0 THEN substr(scrubbed, at + {len(prompts.QUESTION_SEPARATOR)}) END AS tail FROM cut),
+cut AS (SELECT *, instr(scrubbed, {separator}) AS cut_at FROM done),
+halves AS (SELECT *, CASE WHEN cut_at > 0 THEN substr(scrubbed, 1, cut_at - 1) ELSE scrubbed END AS head,
+  CASE WHEN cut_at > 0 THEN substr(scrubbed, cut_at + {len(prompts.QUESTION_SEPARATOR)}) END AS tail FROM cut),
 parts AS (SELECT request_id, skill,
-  {trimmed(f"CASE WHEN at > 0 AND starts_with(head, {prefix}) THEN substr(head, {len(prompts.CONTEXT_PREFIX) + 1}) ELSE head END")} AS context,
-  CASE WHEN at > 0 THEN {trimmed('tail')} ELSE {lit(prompts.DEFAULT_TASK)} END AS task FROM halves),
+  {trimmed(f"CASE WHEN cut_at > 0 AND starts_with(head, {prefix}) THEN substr(head, {len(prompts.CONTEXT_PREFIX) + 1}) ELSE head END")} AS context,
+  CASE WHEN cut_at > 0 THEN {trimmed('tail')} ELSE {lit(prompts.DEFAULT_TASK)} END AS task FROM halves),
 cleaned AS (SELECT *, array_to_string(list_filter(list_transform(string_split(context, chr(10)), lambda l: {line}),
   lambda l: l <> ''), chr(10)) AS stripped, {soft} AS softened FROM parts)"""
 
