@@ -16,11 +16,12 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.rules import CATEGORIES, PASSES, RULES, probe_pattern
+from scrubline.functions.rules import CATEGORIES, NEEDED_TEXT, PASSES, RULES, probe_pattern
 
 RESULT_COLUMNS = ("redaction_count", "categories", "category_counts")
 
@@ -34,27 +35,44 @@ SCRUBBED = T.StructType(
 )
 
 
-@lru_cache(maxsize=1)
-def _compiled():
-    """The probe and the rules, compiled once per worker."""
-    probe = re.compile(probe_pattern().removeprefix("(?U)"))
+@lru_cache(maxsize=2)
+def _compiled(engine):
+    """The probe and the rules, compiled once per worker and engine."""
+    probe = engine.compile(probe_pattern().removeprefix("(?U)"))
     rules = [
-        (re.compile(r.pattern), r.token.replace("$1", r"\1"), CATEGORIES.index(r.category)) for r in RULES
+        (
+            NEEDED_TEXT.get(r.name),
+            engine.compile(r.pattern),
+            r.token.replace("$1", r"\1"),
+            CATEGORIES.index(r.category),
+        )
+        for r in RULES
     ]
     return probe, rules
 
 
+# The faster engine takes these for white space, which they are not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def _scrub_text(text: str):
-    probe, rules = _compiled()
+    # outside ASCII, only the slower engine knows all word characters
+    plain = text.isascii() and not SEPARATORS.search(text)
+    probe, rules = _compiled(re if plain else regex)
     counts = [0] * len(CATEGORIES)
     for n in range(PASSES):
         # a pass that would find nothing leaves the text as it is, and so would the next
         if n and not probe.search(text):
             break
         before = sum(counts)
-        for pattern, token, category in rules:
+        folded = text.casefold()
+        for needed, pattern, token, category in rules:
+            if needed and not any(word in folded for word in needed):
+                continue
             text, found = pattern.subn(token, text)
-            counts[category] += found
+            if found:
+                counts[category] += found
+                folded = text.casefold()
         if sum(counts) == before:
             break
     hit = [i for i, count in enumerate(counts) if count]
