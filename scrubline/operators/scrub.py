@@ -13,7 +13,6 @@ result and the code generator cannot compile.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -35,9 +34,8 @@ SCRUBBED = T.StructType(
 )
 
 
-@lru_cache(maxsize=2)
 def _compiled(engine):
-    """The probe and the rules, compiled once per worker and engine."""
+    """The probe and the rules; the engine keeps what it compiled before."""
     probe = engine.compile(probe_pattern().removeprefix("(?U)"))
     rules = [
         (
@@ -55,10 +53,9 @@ def _compiled(engine):
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def _scrub_text(text: str):
+def _scrub_text(text: str, plain, full):
     # outside ASCII, only the slower engine knows all word characters
-    plain = text.isascii() and not SEPARATORS.search(text)
-    probe, rules = _compiled(re if plain else regex)
+    probe, rules = plain if text.isascii() and not SEPARATORS.search(text) else full
     counts = [0] * len(CATEGORIES)
     for n in range(PASSES):
         # a pass that would find nothing leaves the text as it is, and so would the next
@@ -82,7 +79,8 @@ def _scrub_text(text: str):
 @F.pandas_udf(SCRUBBED)
 def _scrub_batch(texts: pd.Series) -> pd.DataFrame:
     nothing = (None, None, None, None)
-    rows = [nothing if text is None else _scrub_text(text) for text in texts]
+    plain, full = _compiled(re), _compiled(regex)
+    rows = [nothing if text is None else _scrub_text(text, plain, full) for text in texts]
     return pd.DataFrame(rows, columns=SCRUBBED.names, dtype=object)
 
 
