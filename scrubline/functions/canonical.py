@@ -1,7 +1,7 @@
 """Canonical JSON and entry hashes.
 
 Canonical JSON has its object keys sorted at every depth, arrays in place and no
-white space.  ``parse_json`` keeps objects sorted, so ``to_json(parse_json(x))``
+white space.  ``parse_json`` keeps objects sorted, so printing what it parsed
 does the work in the JVM.  It reformats some literals, though (``12.0`` becomes
 ``12``), and refuses repeated keys.  Texts where that may matter are recognised
 by one pattern and go through an Arrow function instead; other rows reach that
@@ -95,8 +95,13 @@ def _canonical_exact(texts: pd.Series) -> pd.Series:
 
 def canonical_json(text: Column) -> Column:
     """Canonical form of a JSON text column; null where it is not valid JSON."""
-    native = F.to_json(F.try_parse_json(text))
-    rare = text.rlike(REFORMATTED) | native.isNull()
+    # The parser stops after one value.  Whatever may follow that value breaks the
+    # list or the object around it, so text that fits both is one whole value.
+    in_list = F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    in_object = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    whole = in_list.isNotNull() & in_object.isNotNull()
+    native = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
+    rare = text.rlike(REFORMATTED) | ~whole
     return F.coalesce(_canonical_exact(F.when(rare, text)), F.when(~rare, native))
 
 

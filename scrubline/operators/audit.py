@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.canonical import canonical_json, entry_hash
@@ -95,11 +95,6 @@ def _newest(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.col("id").desc()).limit(n)
 
 
-def parsed_metadata(text: Column) -> Column:
-    """The metadata as stored when it is valid JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull() | canonical_json(text).isNotNull(), text)
-
-
 def list_latest(df: DataFrame, n: int = LIST_DEFAULT) -> DataFrame:
     """The newest entries in ascending order, each with ``hash_valid``.
 
