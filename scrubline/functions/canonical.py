@@ -101,7 +101,8 @@ def canonical_json(text: Column) -> Column:
     in_object = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
     whole = in_list.isNotNull() & in_object.isNotNull()
     native = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
-    rare = text.rlike(REFORMATTED) | ~whole
+    openings = F.length(text) - F.length(F.translate(text, "[{", ""))
+    rare = text.rlike(REFORMATTED) | ~whole | (openings > DEEPEST_NESTING)
     return F.coalesce(_canonical_exact(F.when(rare, text)), F.when(~rare, native))
 
 
