@@ -26,6 +26,7 @@ from scrubline.llm.common import bodies, stored
 from scrubline.llm.components import components
 
 SEED = 42
+WORD_SET_KINDS = 4
 # an entry with more fingerprints than this is cut further; it decides the way only, not the result
 ENTRY_SIZE = 2048
 COMPARED_AT_ONCE = 1 << 20
@@ -52,10 +53,20 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(table)).tobytes(), "big")
 
 
+def word_set_fingerprints(text: bytes) -> list[int]:
+    """Four independent fingerprints of the set of distinct words; zeros without words."""
+    counts, words = np.zeros(64 * WORD_SET_KINDS, np.int64), list(set(text.lower().split()))
+    for start in range(0, len(words), 1 << 14):
+        part = b"".join(xxhash.xxh3_128_digest(w, s) for w in words[start : start + (1 << 14)] for s in range(WORD_SET_KINDS // 2))
+        rows = np.frombuffer(part, np.uint8).reshape(-1, 8 * WORD_SET_KINDS)
+        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(words)).view(">u8").astype(np.uint64).tolist()
+
+
 def fingerprints(
-    docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, words_each: int = 3, word_sets: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, fp) of every whole text.
+    """(doc_id, fps) of every whole text: the shingle fingerprint first, then, if asked for, those of its set of words.
 
     ASCII letters are lower-cased and words are what stands between ASCII white space.
     A bit is set if more than half of the shingles' XXH64 values have it, repeats
@@ -64,11 +75,14 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text, words_each) for text in batch.column("body").to_pylist()]
-            fp = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
+            values = [
+                [fingerprint(text, words_each), *(word_set_fingerprints(text) if word_sets else ())]
+                for text in batch.column("body").to_pylist()
+            ]
+            fps = pa.array([np.array(v, np.uint64).view(np.int64) for v in values], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fps"])
 
-    return bodies(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return bodies(docs, id_col, text_col).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 # --- links ------------------------------------------------------------------
@@ -86,7 +100,7 @@ def _zero_flips(value: Column, shift: int, width: int) -> Column:
 
 
 def _entries(members: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
-    """Table entries (mask, value) of members (fp, mask, value) for each further segment (shift, width)."""
+    """Table entries (kind, mask, value) of members (kind, fp, mask, value) for each further segment (shift, width)."""
     found = []
     for shift, width in segments:
         own = F.lit(_signed(((1 << width) - 1) << shift))
@@ -100,7 +114,7 @@ def _entries(members: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
                 ),
             )
         )
-    return members.select("fp", F.explode(F.concat(*found)).alias("entry")).select("fp", "entry.mask", "entry.value")
+    return members.select("kind", "fp", F.explode(F.concat(*found)).alias("entry")).select("kind", "fp", "entry.mask", "entry.value")
 
 
 def forest(values: np.ndarray, most: int = 3) -> list[tuple[int, int]]:
@@ -121,17 +135,17 @@ def forest(values: np.ndarray, most: int = 3) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, *, most: int = 3) -> DataFrame:
-    """(u, v): links that connect all distinct fingerprints of ``fps`` which differ in at most ``most`` <= 3 bits."""
+    """(kind, u, v): links that connect all distinct fingerprints of a kind which differ in at most ``most`` <= 3 bits."""
     if not 0 <= most <= 3:
         raise ValueError("two segments looked up at one bit cover at most three differing bits")
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = np.unique(rows["fp"].to_numpy().view(np.uint64))
         pairs = np.array(forest(values, most), np.int64).reshape(-1, 2)
         signed = values.view(np.int64)
-        return pd.DataFrame({"u": signed[pairs[:, 0]], "v": signed[pairs[:, 1]]})
+        return pd.DataFrame({"kind": np.int32(key[0]), "u": signed[pairs[:, 0]], "v": signed[pairs[:, 1]]})
 
-    start = fps.select("fp").distinct().withColumn("mask", F.lit(0).cast("long")).withColumn("value", F.lit(0).cast("long"))
+    start = fps.select("kind", "fp").distinct().withColumn("mask", F.lit(0).cast("long")).withColumn("value", F.lit(0).cast("long"))
     entries, found = None, []
     for depth, width in enumerate((32, 16, 8)):
         if depth == 0:
@@ -139,12 +153,12 @@ def links(fps: DataFrame, *, most: int = 3) -> DataFrame:
             # only values that are some fingerprint's own segment can hold a link
             shares = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in (0xFFFFFFFF << 32, 0xFFFFFFFF)]
             own = start.select(
-                F.explode(F.array(*[
+                "kind", F.explode(F.array(*[
                     F.struct(F.lit(_signed(m)).alias("mask"), share.alias("value"))
                     for m, share in zip((0xFFFFFFFF << 32, 0xFFFFFFFF), shares)
                 ])).alias("e")
-            ).select("e.mask", "e.value").distinct()
-            entries = entries.join(own, ["mask", "value"], "left_semi")
+            ).select("kind", "e.mask", "e.value").distinct()
+            entries = entries.join(own, ["kind", "mask", "value"], "left_semi")
         else:
             parts = []
             # the open bits of a mask are one run of 2 * width bits; each half is a segment
@@ -157,15 +171,15 @@ def links(fps: DataFrame, *, most: int = 3) -> DataFrame:
                 merged = merged.unionByName(part)
             entries = merged.distinct()
         entries = stored(entries, "entries")
-        sizes = entries.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = entries.groupBy("kind", "mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         last = width == 8
         small = sizes if last else sizes.where(F.col("n") <= ENTRY_SIZE)
-        grouped = entries.join(small.drop("n"), ["mask", "value"], "left_semi")
-        found.append(grouped.groupBy("mask", "value").applyInPandas(compare, "u long, v long"))
+        grouped = entries.join(small.drop("n"), ["kind", "mask", "value"], "left_semi")
+        found.append(grouped.groupBy("kind", "mask", "value").applyInPandas(compare, "kind int, u long, v long"))
         if last:
             break
         large = sizes.where(F.col("n") > ENTRY_SIZE).drop("n")
-        entries = entries.join(large, ["mask", "value"], "left_semi")
+        entries = entries.join(large, ["kind", "mask", "value"], "left_semi")
         if large.isEmpty():
             break
     every = found[0]
@@ -175,22 +189,37 @@ def links(fps: DataFrame, *, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, words_each: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, *, words_each: int = 3, most: int = 3, also_word_sets: bool = False, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """A row per document: doc_id, fingerprint, and the smallest doc_id of its group.
 
     Fingerprints link at ``most`` or fewer differing bits, and groups are what links reach.
+    ``also_word_sets`` links texts by four more fingerprints, those of their sets of words, any of which is enough:
+    a changed word moves three shingles but one member of the set, so more near copies are found.
     Null, empty and blank texts share fingerprint 0.  Rows with equal ids each give a row.  A
     row without an id takes the smallest id of its group, null if the group has none.
     """
-    rows = stored(fingerprints(docs, words_each=words_each, id_col=id_col, text_col=text_col), "fingerprints")
-    heads = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
-    groups = stored(components(links(heads, most=most)), "fingerprint-groups")
-    named = heads.join(groups, heads["fp"] == groups["node"], "left").select(
-        "fp", "head", F.coalesce("component", "fp").alias("group")
+    rows = stored(
+        fingerprints(docs, words_each=words_each, word_sets=also_word_sets, id_col=id_col, text_col=text_col), "fingerprints"
+    )
+    each = rows.select("doc_id", F.posexplode("fps").alias("kind", "fp"))
+    heads = stored(each.groupBy("kind", "fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
+    found = stored(links(heads, most=most), "fingerprint-links")
+    pairs = (
+        found.join(heads.select("kind", F.col("fp").alias("u"), F.col("head").alias("a")), ["kind", "u"])
+        .join(heads.select("kind", F.col("fp").alias("v"), F.col("head").alias("b")), ["kind", "v"]).select("a", "b")
+    )
+    if also_word_sets:
+        # the kinds of a document meet in the document itself
+        pairs = pairs.unionByName(
+            each.join(heads, ["kind", "fp"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
+        )
+    groups = components(pairs, "a", "b")
+    first = heads.where("kind = 0").select("fp", "head")
+    lookup = stored(
+        first.join(groups, first["head"] == groups["node"], "left").select("fp", F.coalesce("component", "head").alias("component_id")),
+        "fingerprint-groups",
     )
-    least = named.groupBy("group").agg(F.min("head").alias("component_id"))
-    lookup = named.join(least, "group").select("fp", "component_id")
-    return rows.join(lookup, "fp").select(
+    return rows.select("doc_id", F.col("fps")[0].alias("fp")).join(lookup, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -345,13 +345,14 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def remove_repeats(
-    docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes ``kept``.
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts_too`` what is left as ``kept_text``.
 
     Removed is every byte of a string of ``length`` bytes that also starts in a document with a smaller id, judged
     on the whole input.  A null text is an empty one.  A row without an id loses nothing and takes
-    nothing from others; rows with equal ids never remove from each other.  ``carry`` names columns to
+    nothing from others; rows with equal ids never remove from each other.  Where a cut splits a character, ``kept_text``
+    leaves out the rest of it; the hash covers all remaining bytes.  ``carry`` names columns to
     hand on, as ``carried_0`` and so on.
     """
     if length < 2 * PIECE:
@@ -382,6 +383,8 @@ def remove_repeats(
     joined = whole_docs.join(by_doc, ["doc_id", "text_hash"], "left").drop("text_hash")
     names = [name for name in joined.columns if name.startswith("carried_")]
 
+    kept_text = ["kept_text"] if texts_too else []
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in by_bytes(batches):
             spans = batch.column("spans").to_pylist()
@@ -389,12 +392,12 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(list(map(len, some)), pa.int64()),
                  pa.array([len(t) - len(k) for t, (k, _) in zip(some, left)], pa.int64()), pa.array([n for _, n in left], pa.int64()),
-                 pa.array([hashlib.sha256(k).hexdigest() for k, _ in left]), pa.array([k for k, _ in left], pa.binary()),
-                 *(batch.column(name) for name in names)],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names],
+                 pa.array([hashlib.sha256(k).hexdigest() for k, _ in left]),
+                 *([pa.array([k.decode("utf-8", "ignore") for k, _ in left], pa.string())] if texts_too else []), *(batch.column(name) for name in names)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept_text, *names],
             )
 
-    kinds = "".join(f", {name} {joined.schema[name].dataType.simpleString()}" for name in names)
+    kinds = ", kept_text string" * texts_too + "".join(f", {name} {joined.schema[name].dataType.simpleString()}" for name in names)
     return joined.mapInArrow(
-        cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{kinds}"
+        cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kinds}"
     )
