@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files are removed when the action ends, not some time later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
     """Ids as long and whole texts as UTF-8 bytes; a null text is an empty one."""
     return docs.select(
@@ -56,5 +70,14 @@ def by_bytes(
             yield batch.slice(start), values[start:]
 
 
+# a table of ids with at most so many rows is sent to every task; a larger one is joined by a shuffle
+BROADCAST_IDS = 2_000_000
+
+
+def small_or_shuffled(ids: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast only if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,6 +2,8 @@
 
 A string of ``length`` bytes counts as repeated where it also starts in a document with a smaller id.
 
+Copies of whole texts are set aside first: a copy loses everything, and the smallest document stands for it.
+
 1. Every string is assigned to the least hash of the 24-byte pieces it holds.  Neighbouring strings share
    it, so a text falls into short stretches, one key each, and equal strings always fall to equal keys.
 2. A filter of fixed size tells which keys may occur twice; stretches with other keys go no further.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import bodies, by_bytes, stored
+from scrubline.llm.common import bodies, by_bytes, small_or_shuffled, stored, tidy
 
 PIECE = 24
 FILTER_BITS = 27
@@ -96,9 +98,14 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in by_bytes(batches, limit=16 << 20):
-            keys = np.sort(stretches(some, length)[1] >> np.uint64(32 - FILTER_BUCKETS))
-            again = np.unique(keys[1:][keys[1:] == keys[:-1]])
-            once = np.unique(keys)
+            _, keys, owner, _, _ = stretches(some, length)
+            keys >>= np.uint64(32 - FILTER_BUCKETS)
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            same = keys[1:] == keys[:-1]
+            # a key of several documents has neighbours of different documents
+            again = np.unique(keys[1:][same & (owner[1:] != owner[:-1])])
+            once = keys[np.append(~same, True)] if len(keys) else keys
             bounds = np.arange((1 << FILTER_BUCKETS) + 1, dtype=np.uint64) << np.uint64(32)
             at, at_again = np.searchsorted(once, bounds[:-1]), np.searchsorted(again, bounds[:-1])
             parts = [np.split(x.astype("<u4"), cut[1:]) for x, cut in ((once, at), (again, at_again))]
@@ -144,7 +151,9 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
         .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, bits binary")
     )
     table = np.zeros((1 << FILTER_BUCKETS, (1 << low) // 8), np.uint8)
-    for row in rows.collect():
+    with tidy(texts.sparkSession):
+        found = rows.collect()
+    for row in found:
         table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return table.reshape(-1)
 
@@ -359,8 +368,14 @@ def remove_repeats(
         raise ValueError(f"strings of at least {2 * PIECE} bytes")
     hashed = F.xxhash64("body")
     texts = bodies(docs, id_col, text_col).withColumn("text_hash", hashed)
+    lights = texts.select("doc_id", "text_hash", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n"))
+    firsts = lights.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = stored(
+        lights.join(firsts.drop("copies"), "digest").where("doc_id > head").select("doc_id", "text_hash", "n").distinct(), "copies"
+    )
+    own = texts.join(small_or_shuffled(copies.drop("n")), ["doc_id", "text_hash"], "left_anti")
     found = stored(
-        candidate_stretches(texts, length).withColumn("stretch_hash", F.xxhash64("stretch")), "stretches"
+        candidate_stretches(own, length).withColumn("stretch_hash", F.xxhash64("stretch")), "stretches"
     )
     distinct = stored(
         found.groupBy("key", "stretch_hash", "stretch").agg(F.min("doc_id").alias("head")), "distinct-stretches"
@@ -375,6 +390,9 @@ def remove_repeats(
         .select("doc_id", "text_hash", F.struct((F.col("place") + F.col("s.from")).alias("start"),
                                                 (F.col("place") + F.col("s.to") + (length - 1)).alias("end")).alias("span"))
     )
+    spans = spans.unionByName(
+        copies.where(F.col("n") >= length).select("doc_id", "text_hash", F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).alias("span"))
+    )
     by_doc = stored(spans.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans")), "spans")
     carried = [F.col(f"`{name}`").alias(f"carried_{k}") for k, name in enumerate(carry)]
     whole_docs = docs.select(
