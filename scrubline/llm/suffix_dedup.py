@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,32 +159,78 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
     return table.reshape(-1)
 
 
-def candidate_stretches(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_hash, place, strings, key, stretch) of the stretches the filter lets through."""
-    shared = texts.sparkSession.sparkContext.broadcast(repeat_filter(texts, length))
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _head_slot(stretch_hash: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return (stretch_hash ^ (doc_id.view(np.uint64) << np.uint64(64 - FILTER_BITS))) >> np.uint64(64 - FILTER_BITS)
+
+
+def head_filter(heads: DataFrame) -> np.ndarray:
+    """Bits of the pairs (stretch, smallest document); the size is fixed."""
+    rest = 64 - FILTER_BITS
+    slot = F.shiftrightunsigned(F.col("stretch_hash").bitwiseXOR(F.shiftleft("head", rest)), rest)
+    words = heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")
+    )
+    with tidy(heads.sparkSession):
+        found = words.toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return table.view(np.uint8)
+
+
+def _hits(texts: DataFrame, length: int, keys_bits, heads_bits, schema: str) -> DataFrame:
+    """Stretches the filters let through, without their bytes, or, given the filter of heads, with them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, heads = keys_bits.value, heads_bits.value if heads_bits else None
         for batch, some in by_bytes(batches):
             data, keys, owner, starts, counts = stretches(some, length)
-            slot = keys >> np.uint64(64 - FILTER_BITS)
-            hit = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(_has(bits, keys >> np.uint64(64 - FILTER_BITS)))
             sizes = np.fromiter(map(len, some), np.int64, len(some))
             begins = np.cumsum(sizes) - sizes
-            owners = pa.array(owner[hit])
+            ids = batch.column("doc_id").to_numpy()
             for at in range(0, len(hit), 50_000):
                 part = hit[at : at + 50_000]
                 pieces = [data[s:e] for s, e in zip(starts[part].tolist(), (starts[part] + counts[part] + length - 1).tolist())]
-                who = owners.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(starts[part] - begins[owner[part]]),
-                     pa.array(counts[part].astype(np.int32)), pa.array(keys[part].view(np.int64)), pa.array(pieces, pa.binary())],
-                    ["doc_id", "text_hash", "place", "strings", "key", "stretch"],
-                )
-
-    return texts.where("doc_id IS NOT NULL").mapInArrow(
-        find, "doc_id long, text_hash long, place long, strings int, key long, stretch binary"
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
+                who = owner[part]
+                if heads is None:
+                    columns = [
+                        batch.column("doc_id").take(pa.array(who)), batch.column("text_hash").take(pa.array(who)), pa.array(starts[part] - begins[who]),
+                        pa.array(counts[part].astype(np.int32)), pa.array(keys[part].view(np.int64)), pa.array(hashes.view(np.int64)),
+                    ]
+                else:
+                    of = np.flatnonzero(_has(heads, _head_slot(hashes, ids[who])))
+                    columns = [
+                        pa.array(keys[part][of].view(np.int64)), pa.array(hashes[of].view(np.int64)), pa.array(ids[who[of]]),
+                        pa.array([pieces[k] for k in of], pa.binary()),
+                    ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return texts.where("doc_id IS NOT NULL").mapInArrow(find, schema)
+
+
+def candidate_stretches(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places of all stretches that may be repeated; the smallest document of each; the bytes of each, once.
+
+    The bytes of a stretch are read again where its smallest document lies, instead of moving those of every copy.
+    The second filter may let through other documents too; ``repeats_within`` sorts them like any others.
+    """
+    context = texts.sparkSession.sparkContext
+    keys = context.broadcast(repeat_filter(texts, length))
+    places = stored(
+        _hits(texts, length, keys, None, "doc_id long, text_hash long, place long, strings int, key long, stretch_hash long"), "stretches"
+    )
+    heads = stored(places.groupBy("stretch_hash", "key").agg(F.min("doc_id").alias("head")), "stretch-heads")
+    bits = context.broadcast(head_filter(heads))
+    distinct = stored(
+        _hits(texts, length, keys, bits, "key long, stretch_hash long, head long, stretch binary"), "distinct-stretches"
     )
+    return places, heads, distinct
 
 
 # --- suffix sorting ---------------------------------------------------------
@@ -278,7 +325,7 @@ def repeated_strings(pieces: list[bytes], docs: np.ndarray, length: int) -> tupl
 
 
 def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
-    """(key, stretch_hash, spans): the runs of strings of distinct stretches that a smaller document holds elsewhere."""
+    """(stretch_hash, head, spans): the runs of strings of distinct stretches that a smaller document holds elsewhere."""
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = stored(sizes.where(F.col("n") > STRETCHES_AT_ONCE).select("key"), "large-keys")
 
@@ -292,8 +339,8 @@ def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
             last = np.append(first[1:], len(piece)) - 1
             rows = piece[first].tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([keys[r] for r in rows]), pa.array([hashes[r] for r in rows]), pa.array(place[first].astype(np.int32)),
-                 pa.array((place[last] + 1).astype(np.int32))], ["key", "stretch_hash", "from", "to"])
+                [pa.array([hashes[r] for r in rows]), pa.array([docs[r] for r in rows]), pa.array(place[first].astype(np.int32)),
+                 pa.array((place[last] + 1).astype(np.int32))], ["stretch_hash", "head", "from", "to"])
 
         keys, hashes, docs, stretch, size = [], [], [], [], 0
         group: list[tuple] = []
@@ -321,21 +368,21 @@ def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
         if size and (found := block()) is not None:
             yield found
 
-    schema = "key long, stretch_hash long, from int, to int"
+    schema = "stretch_hash long, head long, from int, to int"
     sorted_ones = (
         distinct.join(large, "key", "left_anti").select("key", "stretch_hash", "head", "stretch")
         .repartition("key").sortWithinPartitions("key").mapInArrow(sort, schema)
     )
     strings = distinct.join(large, "key", "left_semi").select(
-        "key", "stretch_hash", "head",
+        "stretch_hash", "head",
         F.posexplode(F.expr(f"transform(sequence(1, octet_length(stretch) - {length - 1}), k -> substring(stretch, k, {length}))")).alias("from", "string"),
     )
     least = strings.groupBy("string").agg(F.min("head").alias("least"))
     grouped_ones = strings.join(least, "string").where("least < head").select(
-        "key", "stretch_hash", "from", (F.col("from") + 1).alias("to")
+        "stretch_hash", "head", "from", (F.col("from") + 1).alias("to")
     )
     spans = sorted_ones.unionByName(grouped_ones)
-    return spans.groupBy("key", "stretch_hash").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return spans.groupBy("stretch_hash", "head").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 # --- documents --------------------------------------------------------------
@@ -374,18 +421,13 @@ def remove_repeats(
         lights.join(firsts.drop("copies"), "digest").where("doc_id > head").select("doc_id", "text_hash", "n").distinct(), "copies"
     )
     own = texts.join(small_or_shuffled(copies.drop("n")), ["doc_id", "text_hash"], "left_anti")
-    found = stored(
-        candidate_stretches(own, length).withColumn("stretch_hash", F.xxhash64("stretch")), "stretches"
-    )
-    distinct = stored(
-        found.groupBy("key", "stretch_hash", "stretch").agg(F.min("doc_id").alias("head")), "distinct-stretches"
-    )
+    found, heads, distinct = candidate_stretches(own, length)
     inside = repeats_within(distinct, length)
-    named = distinct.select("key", "stretch_hash", "head").join(inside, ["key", "stretch_hash"], "left")
+    named = heads.select("stretch_hash", "head").join(inside, ["stretch_hash", "head"], "left")
     # a stretch that a smaller document holds as a whole is repeated as a whole
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
     spans = (
-        found.select("doc_id", "text_hash", "place", "strings", "key", "stretch_hash").join(named, ["key", "stretch_hash"])
+        found.select("doc_id", "text_hash", "place", "strings", "stretch_hash").join(named, "stretch_hash")
         .select("doc_id", "text_hash", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
         .select("doc_id", "text_hash", F.struct((F.col("place") + F.col("s.from")).alias("start"),
                                                 (F.col("place") + F.col("s.to") + (length - 1)).alias("end")).alias("span"))
