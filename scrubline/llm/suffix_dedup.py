@@ -169,16 +169,26 @@ def _head_slot(stretch_hash: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 def head_filter(heads: DataFrame) -> np.ndarray:
     """Bits of the pairs (stretch, smallest document); the size is fixed."""
-    rest = 64 - FILTER_BITS
+    rest, low = 64 - FILTER_BITS, FILTER_BITS - FILTER_BUCKETS
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = np.sort(batch.column("slot").to_numpy())
+            buckets, first = np.unique(slot >> low, return_index=True)
+            for bucket, some in zip(buckets.tolist(), np.split(slot, first[1:])):
+                found.setdefault(bucket, np.zeros(1 << low, bool))[some & ((1 << low) - 1)] = True
+        packed = [np.packbits(bits, bitorder="little").tobytes() for bits in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "bits"])
+
     slot = F.shiftrightunsigned(F.col("stretch_hash").bitwiseXOR(F.shiftleft("head", rest)), rest)
-    words = heads.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")
-    )
+    slots = heads.select(slot.alias("slot")).repartition(F.shiftright("slot", low))
     with tidy(heads.sparkSession):
-        found = words.toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return table.view(np.uint8)
+        rows = slots.mapInArrow(merge, "bucket int, bits binary").collect()
+    table = np.zeros((1 << FILTER_BUCKETS, (1 << low) // 8), np.uint8)
+    for row in rows:
+        table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
 
 
 def _hits(texts: DataFrame, length: int, keys_bits, heads_bits, schema: str) -> DataFrame:
