@@ -98,7 +98,7 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
     low = FILTER_BITS - FILTER_BUCKETS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, some in by_bytes(batches, limit=16 << 20):
+        for _, some in by_bytes(batches):
             _, keys, owner, _, _ = stretches(some, length)
             keys >>= np.uint64(32 - FILTER_BUCKETS)
             order = np.argsort(keys)
