@@ -35,10 +35,12 @@ PIECE = 24
 FILTER_BITS = 27
 FILTER_BUCKETS = 12
 MOST_STRINGS = 64
+# place and number of strings of a stretch travel as one number
+PLACE_UNIT = 128
 BLOCK_BYTES = 6 << 20
 BUCKET_SUFFIXES = 1 << 19
 # keys with more stretches than this are grouped by value instead of sorted in one task
-STRETCHES_AT_ONCE = 8192
+STRETCHES_AT_ONCE = 65_536
 
 PERIOD = 7
 COVER = (0, 1, 3)
@@ -209,8 +211,8 @@ def _hits(texts: DataFrame, length: int, keys_bits, heads_bits, schema: str) ->
                 who = owner[part]
                 if heads is None:
                     columns = [
-                        batch.column("doc_id").take(pa.array(who)), batch.column("text_hash").take(pa.array(who)), pa.array(starts[part] - begins[who]),
-                        pa.array(counts[part].astype(np.int32)), pa.array(keys[part].view(np.int64)), pa.array(hashes.view(np.int64)),
+                        batch.column("doc_id").take(pa.array(who)), batch.column("text_hash").take(pa.array(who)),
+                        pa.array((starts[part] - begins[who]) * PLACE_UNIT + counts[part]), pa.array(hashes.view(np.int64)),
                     ]
                 else:
                     of = np.flatnonzero(_has(heads, _head_slot(hashes, ids[who])))
@@ -233,9 +235,9 @@ def candidate_stretches(texts: DataFrame, length: int) -> tuple[DataFrame, DataF
     context = texts.sparkSession.sparkContext
     keys = context.broadcast(repeat_filter(texts, length))
     places = stored(
-        _hits(texts, length, keys, None, "doc_id long, text_hash long, place long, strings int, key long, stretch_hash long"), "stretches"
+        _hits(texts, length, keys, None, "doc_id long, text_hash long, at long, stretch_hash long"), "stretches"
     )
-    heads = stored(places.groupBy("stretch_hash", "key").agg(F.min("doc_id").alias("head")), "stretch-heads")
+    heads = stored(places.groupBy("stretch_hash").agg(F.min("doc_id").alias("head")), "stretch-heads")
     bits = context.broadcast(head_filter(heads))
     distinct = stored(
         _hits(texts, length, keys, bits, "key long, stretch_hash long, head long, stretch binary"), "distinct-stretches"
@@ -437,7 +439,8 @@ def remove_repeats(
     # a stretch that a smaller document holds as a whole is repeated as a whole
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
     spans = (
-        found.select("doc_id", "text_hash", "place", "strings", "stretch_hash").join(named, "stretch_hash")
+        found.join(named, "stretch_hash")
+        .withColumn("place", F.shiftright("at", PLACE_UNIT.bit_length() - 1)).withColumn("strings", (F.col("at") % PLACE_UNIT).cast("int"))
         .select("doc_id", "text_hash", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
         .select("doc_id", "text_hash", F.struct((F.col("place") + F.col("s.from")).alias("start"),
                                                 (F.col("place") + F.col("s.to") + (length - 1)).alias("end")).alias("span"))
