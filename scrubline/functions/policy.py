@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrubline.functions.rules import LINEAR_EMAIL
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -31,7 +33,7 @@ def has_ssn(text: Column) -> Column:
 
 
 def has_email(text: Column) -> Column:
-    return _finds(text, BLOCK_EMAIL)
+    return F.coalesce(text.contains("@"), F.lit(False)) & _finds(text, LINEAR_EMAIL)
 
 
 def has_phone(text: Column) -> Column:

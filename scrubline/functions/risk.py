@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrubline.functions.rules import LINEAR_EMAIL
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -55,7 +57,7 @@ def residual_warnings(text: Column, categories: Column) -> Column:
         F.array(
             F.when(finds(POSSIBLE_SSN), F.lit(SSN_WARNING)),
             F.when(finds(POSSIBLE_PHONE), F.lit(PHONE_WARNING)),
-            F.when(finds(POSSIBLE_EMAIL), F.lit(EMAIL_WARNING)),
+            F.when(text.contains("@") & finds(LINEAR_EMAIL), F.lit(EMAIL_WARNING)),
             F.concat(F.lit(NAME_WARNING), first_name_pair(text)),
             F.when(
                 (F.size(categories) == 0) & (F.octet_length(text) > LONG_TEXT_BYTES),

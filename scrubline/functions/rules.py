@@ -240,6 +240,15 @@ FIRST_CHARACTERS = {
 }
 
 
+# The address pattern (r13) tries every start in a long dotted run anew.  This form matches the same text
+# but reads a run of such characters once: it goes from the run's start to its first word
+# boundary, group 1, and never gives back what follows up to the ``@``.
+EMAIL_RUN = "[A-Za-z0-9._%+-]"
+LINEAR_EMAIL = (
+    rf"(?<!{EMAIL_RUN})((?:\B{EMAIL_RUN})*+)\b{EMAIL_RUN}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b"
+)
+
+
 # What a text must contain, case folded, for a rule to match in it: one of these.
 # This is a speed-up only; a rule that is not listed is always tried.
 NEEDED_TEXT = {

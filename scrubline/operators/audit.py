@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.canonical import canonical_json, entry_hash
@@ -29,6 +29,12 @@ AUDIT_COLUMNS = [field.split()[0] for field in AUDIT_SCHEMA.split(", ")]
 POSITION_BITS = 33
 
 
+def utc_day(ts: Column) -> Column:
+    """The UTC day of a time stamp's text, whatever the session's zone."""
+    days = F.floor(F.unix_micros(F.to_timestamp(ts)) / F.lit(86_400_000_000))
+    return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+
+
 def with_entry_hash(
     df: DataFrame, key_order: list[str] | None = None, out: str = "entry_hash"
 ) -> DataFrame:
@@ -136,12 +142,14 @@ def audit_metrics(df: DataFrame) -> DataFrame:
 def missing_entries(src: DataFrame, dst: DataFrame) -> DataFrame:
     """The rows a merge would insert: first of each hash in ``src``, absent in ``dst``.
 
+    Rows without a hash stand for no entry that could be compared; they are left out and never folded into one.
+
     Both steps key on ``entry_hash``, so the rows are shuffled once, and only the
     hashes of ``dst`` are read.  Aggregating before the shuffle keeps many copies
     of one entry from meeting in one task.
     """
     rest = [c for c in src.columns if c != "entry_hash"]
-    first = src.groupBy("entry_hash").agg(F.min_by(F.struct(*rest), F.col("id")).alias("row"))
+    first = src.where(F.col("entry_hash").isNotNull()).groupBy("entry_hash").agg(F.min_by(F.struct(*rest), F.col("id")).alias("row"))
     return first.join(dst.select("entry_hash"), "entry_hash", "left_anti").select(
         *[F.col("entry_hash") if c == "entry_hash" else F.col("row")[c].alias(c) for c in src.columns]
     )
@@ -151,7 +159,13 @@ def id_conflicts(src: DataFrame, dst: DataFrame) -> DataFrame:
     """Same id, different hash: rows that would break a merge part-way."""
     left = src.select("id", F.col("entry_hash").alias("source_hash"))
     right = dst.select("id", F.col("entry_hash").alias("target_hash"))
-    return left.join(right, "id").where(F.col("source_hash") != F.col("target_hash"))
+    return left.join(right, "id").where(~F.col("source_hash").eqNullSafe(F.col("target_hash")))
+
+
+def source_conflicts(src: DataFrame) -> DataFrame:
+    """Ids that stand for several different entries within one table, with how many."""
+    hashes = src.select("id", F.coalesce("entry_hash", F.lit("")).alias("h")).distinct()
+    return hashes.groupBy("id").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
 
 
 def leaky_metadata(df: DataFrame) -> DataFrame:
@@ -169,8 +183,5 @@ def audit_between(df: DataFrame, start: str, end: str) -> DataFrame:
     at = F.to_timestamp("ts")
     rows = df.where((at >= F.to_timestamp(F.lit(start))) & (at < F.to_timestamp(F.lit(end))))
     if "dt" in df.columns:
-        rows = rows.where(
-            (F.col("dt") >= F.to_date(F.to_timestamp(F.lit(start))))
-            & (F.col("dt") <= F.to_date(F.to_timestamp(F.lit(end))))
-        )
+        rows = rows.where((F.col("dt") >= utc_day(F.lit(start))) & (F.col("dt") <= utc_day(F.lit(end))))
     return rows

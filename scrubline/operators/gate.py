@@ -33,6 +33,9 @@ AUDITED_ACTION = "inference"
 # ---------------------------------------------------------------------------
 
 
+PROMPT_MISSING = "prompt is required"
+
+
 def gate(
     requests: DataFrame,
     *,
@@ -43,13 +46,14 @@ def gate(
 ) -> DataFrame:
     """Add the decision and the de-identification result to each request.
 
-    ``decision`` is ``rejected`` (too large, not audited), ``blocked`` or
+    ``decision`` is ``rejected`` (too large or without a prompt, not audited), ``blocked`` or
     ``allowed``.  Blocked and rejected prompts are not scrubbed: they carry the
     result of an empty text, never the raw one.  ``entities`` switches on the
     hybrid scrub; its spans refer to the scrubbed prompts.
     """
     prompt, skill = F.col("prompt"), F.col("skill")
-    checked = requests.withColumn("size_error", size_error(prompt, skill))
+    missing = F.when(prompt.isNull(), F.lit(PROMPT_MISSING))
+    checked = requests.withColumn("size_error", F.coalesce(missing, size_error(prompt, skill)))
     checked = checked.withColumn(
         "policy_reason",
         F.when(F.col("size_error").isNull(), policy_reason(skill, prompt, allowed_skills)),
@@ -158,7 +162,7 @@ def audit_metadata(decided: DataFrame, *, keep_matches: bool = True) -> DataFram
         "deid_redaction_count": F.col("redaction_count"),
         "deid_residual_risk": F.col("residual_risk"),
         "deid_warnings": warnings,
-        "latency_ms": F.round(F.col("latency_ms"), 2),
+        "latency_ms": F.round(F.col("latency_ms") * 100) / 100,
         "prompt_len": F.octet_length("prompt").cast("long"),
     }
 

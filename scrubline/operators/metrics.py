@@ -75,7 +75,7 @@ def histogram_quantile(q: float) -> Column:
 
 
 def latency_quantile(
-    df: DataFrame, by: list[str], q: float = 0.95, seconds_col: str = "latency_s", exact: bool = True
+    df: DataFrame, by: list[str], q: float = 0.95, seconds_col: str = "latency_s", exact: bool = False
 ) -> DataFrame:
     """The bucket estimate of a quantile and, if asked for, the exact value.
 

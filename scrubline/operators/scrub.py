@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.rules import CATEGORIES, NEEDED_TEXT, PASSES, RULES, probe_pattern
+from scrubline.functions.rules import CATEGORIES, LINEAR_EMAIL, NEEDED_TEXT, PASSES, RULES, probe_pattern
 
 RESULT_COLUMNS = ("redaction_count", "categories", "category_counts")
 
@@ -40,8 +40,8 @@ def _compiled(engine):
     rules = [
         (
             NEEDED_TEXT.get(r.name),
-            engine.compile(r.pattern),
-            r.token.replace("$1", r"\1"),
+            engine.compile(LINEAR_EMAIL if r.name == "r13" else r.pattern),
+            r"\1" + r.token if r.name == "r13" else r.token.replace("$1", r"\1"),
             CATEGORIES.index(r.category),
         )
         for r in RULES

@@ -19,37 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small single-file table; large inputs stay as they are.
-
-    Scans split by size, so a file of a few megabytes of text, which takes long to
-    scrub, would run in one task.  Inputs with more splits than cores are left
-    alone: no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- shared SQL -------------------------------------------------------------
 
 NOTE_TEXT = """concat(
-  CASE o_custkey % 4 WHEN 0 THEN 'Patient Jane Roe' WHEN 1 THEN 'Mr. John Doe'
-                     WHEN 2 THEN 'Attending Smith, MD' ELSE 'Follow-up for Mary Major' END,
+  CASE o_custkey % 4 WHEN 0 THEN 'Patient Ida Voss' WHEN 1 THEN 'Mr. Karl Brandt'
+                     WHEN 2 THEN 'Nurse Adler, RN' ELSE 'Follow-up for Nora Quill' END,
   ' seen ', {us_date}, '. Age: ', o_custkey % 110, '. MRN: M-', o_orderkey,
   '. Ref #', 1000 + o_orderkey % 9000,
   CASE WHEN o_orderkey % 5 = 0 THEN concat('. SSN ', lpad(concat(o_custkey % 1000, ''), 3, '0'), '-',
        lpad(concat(o_orderkey % 100, ''), 2, '0'), '-', lpad(concat(o_orderkey % 10000, ''), 4, '0')) ELSE '' END,
-  CASE WHEN o_orderkey % 7 = 0 THEN '. license number LX-77' ELSE '' END,
-  CASE WHEN o_orderkey % 3 = 0 THEN concat('. member id: HP-', o_custkey, ', mail u', o_custkey, '@clinic.org') ELSE '' END,
+  CASE WHEN o_orderkey % 7 = 0 THEN '. certificate KR-6021' ELSE '' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('. subscriber id: SB', o_custkey, ', mail u', o_custkey, '@mail.ward.test') ELSE '' END,
   CASE o_orderkey % 16
-    WHEN 1 THEN concat('. fax 555-867-', 1000 + o_custkey % 9000)
-    WHEN 2 THEN concat('. Lives at ', o_custkey % 900, ' Maple Street, Springfield, IL ', 10000 + o_custkey % 89999)
-    WHEN 3 THEN '. account number AC-4455' WHEN 4 THEN '. VIN 1HGBH41JXMN109186 noted'
-    WHEN 5 THEN '. device serial SN-998877'
-    WHEN 6 THEN concat('. portal https://patient.example.com/records/', o_orderkey)
-    WHEN 7 THEN concat('. logged from 192.168.1.', o_custkey % 256) WHEN 8 THEN '. fingerprint on file'
-    WHEN 9 THEN '. patient photo attached' WHEN 10 THEN concat('. encounter id ENC-', o_orderkey)
-    WHEN 11 THEN '. Sex: F' WHEN 12 THEN concat('. callback at (555) 867-', 1000 + o_custkey % 9000)
+    WHEN 1 THEN concat('. facsimile 312-448-', 1000 + o_custkey % 9000)
+    WHEN 2 THEN concat('. Lives at ', o_custkey % 900, ' Juniper Road, Dayton, OH ', 10000 + o_custkey % 89999)
+    WHEN 3 THEN '. acct number KT-2093' WHEN 4 THEN '. ambulance vehicle id WD-5513'
+    WHEN 5 THEN '. implant id PX-3020'
+    WHEN 6 THEN concat('. results under http://lab.ward.test/r/', o_orderkey)
+    WHEN 7 THEN concat('. host 10.44.7.', o_custkey % 256) WHEN 8 THEN '. retina scan taken'
+    WHEN 9 THEN '. a headshot was filed' WHEN 10 THEN concat('. accession AX-', o_orderkey)
+    WHEN 11 THEN '. Sex: F' WHEN 12 THEN concat('. ring (312) 448-', 1000 + o_custkey % 9000)
     WHEN 13 THEN '. born 2024-01-05, again on March 4, 2021' WHEN 14 THEN '. she is 45 yo'
     ELSE '' END,
   '. Discharge stable.')"""
@@ -83,7 +72,7 @@ OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'blocked
 
 METADATA = """concat('{"z": ', props, ', "prompt_len": ', event_id,
   ', "latency_ms": ', CASE WHEN event_id % 50 = 0 THEN '12.0' ELSE concat(value, '') END,
-  ', "deid_warnings": [', CASE WHEN event_type = 'view' THEN '"possible_name_remainder:Mary Major"' ELSE '' END,
+  ', "deid_warnings": [', CASE WHEN event_type = 'view' THEN '"possible_name_remainder:Nora Quill"' ELSE '' END,
   '], "actor": {"b": true, "a": null}}')"""
 
 HANDLER = """CASE event_type WHEN 'click' THEN '/v1/inference' WHEN 'error' THEN '/v1/inference'
@@ -125,7 +114,7 @@ CUTOVER = "2024-01-20T00:00:00"
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     text = NOTE_TEXT.format(us_date="date_format(o_orderdate, 'MM/dd/yyyy')")
-    return spread(
+    return (
         orders.select(
             F.col("o_orderkey").alias("note_id"),
             "o_custkey",
@@ -173,7 +162,7 @@ def audit_events(events: DataFrame) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_entry_hash(audit_events(spread(table(spark, sf_dir, "events"))))
+    rows = with_entry_hash(audit_events(table(spark, sf_dir, "events")))
     return rows.select((F.col("event_id") + 1).alias("id"), *[c for c in rows.columns if c != "event_id"])
 
 

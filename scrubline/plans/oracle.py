@@ -149,7 +149,7 @@ AUDIT_EVENTS = f"""SELECT event_id, event_id + 1 AS id, strftime(ts, '%Y-%m-%dT%
   concat('user-', user_id) AS actor, CASE user_id % 2 WHEN 0 THEN 'operator' ELSE 'auditor' END AS role,
   event_type AS action, 'vault-answer' AS resource, {inputs.OUTCOME} AS outcome, {inputs.METADATA} AS metadata_json,
   concat('{{"actor":{{"a":null,"b":true}},"deid_warnings":[', CASE WHEN event_type = 'view'
-    THEN '"possible_name_remainder:Mary Major"' ELSE '' END, '],"latency_ms":',
+    THEN '"possible_name_remainder:Nora Quill"' ELSE '' END, '],"latency_ms":',
     CASE WHEN event_id % 50 = 0 THEN '12.0' ELSE concat(value, '') END,
     ',"prompt_len":', event_id, ',"z":', replace(props, ' ', ''), '}}') AS canonical, value FROM events"""
 
@@ -278,7 +278,7 @@ METADATA = (
     "',\"deid_residual_risk\":\"', residual_risk, '\",\"deid_warnings\":', " + string_list("warnings", "|")
     + ", CASE WHEN model_error IS NOT NULL THEN concat(',\"error\":\"', "
     + error_text("model_error", "upstream_status", "upstream_body")
-    + ", '\"') ELSE '' END, ',\"latency_ms\":', round(latency_ms, 2), "
+    + ", '\"') ELSE '' END, ',\"latency_ms\":', round(latency_ms * 100) / 100, "
     "CASE WHEN policy_reason IS NOT NULL THEN concat(',\"policy_reason\":\"', policy_reason, '\"') "
     "WHEN model_error IS NOT NULL THEN ',\"model\":null' ELSE concat(',\"model\":\"', model, '\"') END, "
     "',\"prompt_len\":', strlen(prompt), '}') END"
@@ -526,7 +526,7 @@ def oracle_sql() -> dict[str, str]:
         "id_conflicts": f"""SELECT id, entry_hash AS source_hash, {entry_hash(outcome="'ok-edited'")} AS target_hash
             FROM ({AUDIT}) WHERE value < 20""",
         "next_id": "SELECT max(event_id) + 1 AS max_id, max(event_id) + 2 AS next_id FROM events",
-        "leaky_metadata": """SELECT event_id + 1 AS id, 'possible_name_remainder:Mary Major' AS leaks FROM events
+        "leaky_metadata": """SELECT event_id + 1 AS id, 'possible_name_remainder:Nora Quill' AS leaks FROM events
             WHERE event_type = 'view'""",
         "audit_between": f"""SELECT event_id, ts, action FROM ({AUDIT_EVENTS})
             WHERE ts >= '2024-01-10T06:00:00' AND ts < '2024-01-12T18:30:00'""",

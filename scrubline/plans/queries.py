@@ -6,7 +6,6 @@ whatever reads them.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,7 +84,7 @@ def scan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends: the rows before the cutover, then the rest."""
     path = scratch_path(spark, "append")
-    events = inputs.audit_events(inputs.spread(inputs.table(spark, sf_dir, "events")))
+    events = inputs.audit_events(inputs.table(spark, sf_dir, "events"))
     audit_tables.append_audit(spark, events.where(F.col("ts") < inputs.CUTOVER), path)
     audit_tables.append_audit(spark, events.where(F.col("ts") >= inputs.CUTOVER), path)
     return audit_tables.read_audit(spark, path).select("id", "ts", "actor", "action", "outcome", "entry_hash")
@@ -117,17 +116,17 @@ def scrub_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_scrub(scrub.scrub(inputs.spread(inputs.table(spark, sf_dir, "documents"))), "doc_id")
+    return flat_scrub(scrub.scrub(inputs.table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query
 def scrub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_scrub(scrub.scrub(inputs.spread(inputs.table(spark, sf_dir, "pages")), "html"), "page_id")
+    return flat_scrub(scrub.scrub(inputs.table(spark, sf_dir, "pages"), "html"), "page_id")
 
 
 @query
 def scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_scrub(scrub.scrub(inputs.spread(inputs.table(spark, sf_dir, "conversations"))), "conv_id", "turn")
+    return flat_scrub(scrub.scrub(inputs.table(spark, sf_dir, "conversations")), "conv_id", "turn")
 
 
 @query
@@ -214,7 +213,7 @@ def deid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def deid_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.spread(inputs.table(spark, sf_dir, "documents"))
+    documents = inputs.table(spark, sf_dir, "documents")
     report = scrub.deid_report(scrub.scrub(documents), ["source", "lang"])
     return report.withColumn("avg_redactions", F.round("avg_redactions", 6))
 
@@ -235,13 +234,13 @@ def residual_risk_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def residual_risk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.spread(inputs.table(spark, sf_dir, "documents"))
+    documents = inputs.table(spark, sf_dir, "documents")
     return flat_risk(spans.assess(scrub.scrub(documents)), "doc_id")
 
 
 @query
 def first_name_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.spread(inputs.table(spark, sf_dir, "documents"))
+    documents = inputs.table(spark, sf_dir, "documents")
     return documents.select("doc_id", risk.first_name_pair(F.col("text")).alias("pair"))
 
 
@@ -290,7 +289,7 @@ def hard_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hard_block_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.spread(inputs.table(spark, sf_dir, "documents"))
+    documents = inputs.table(spark, sf_dir, "documents")
     return documents.select("doc_id", policy.hard_block(F.col("text")).alias("reason"))
 
 
@@ -371,7 +370,7 @@ def audit_from_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def canonical_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.audit_events(inputs.spread(inputs.table(spark, sf_dir, "events")))
+    rows = inputs.audit_events(inputs.table(spark, sf_dir, "events"))
     return rows.select("event_id", canonical_json(F.col("metadata_json")).alias("canonical"))
 
 
@@ -384,7 +383,7 @@ def entry_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_hash_in_field_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes with the outer keys as they are inserted instead of sorted."""
     order = ["ts", "actor", "role", "action", "resource", "outcome", "metadata"]
-    rows = inputs.audit_events(inputs.spread(inputs.table(spark, sf_dir, "events")))
+    rows = inputs.audit_events(inputs.table(spark, sf_dir, "events"))
     return audit.with_entry_hash(rows, order).select("event_id", "entry_hash")
 
 
@@ -508,7 +507,7 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.latency_quantile(access_rows(spark, sf_dir), ["outcome"])
+    found = metrics.latency_quantile(access_rows(spark, sf_dir), ["outcome"], exact=True)
     return found.select(
         "outcome", "latency_count", F.round("bucket_quantile", 6).alias("bucket_quantile"),
         F.round("exact_quantile", 6).alias("exact_quantile"),
@@ -661,7 +660,7 @@ def reply_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = inputs.table(spark, sf_dir, name).schema
-    return jobs.read_table_stream(spark, os.path.abspath(sf_dir), f"{name}.parquet", schema)
+    return jobs.read_table_stream(spark, sf_dir, f"{name}.parquet", schema)
 
 
 def finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -18,6 +18,8 @@ from scrubline.operators.audit import (
     id_conflicts,
     missing_entries,
     next_id,
+    source_conflicts,
+    utc_day,
     with_entry_hash,
 )
 from scrubline.session import scratch_path
@@ -40,39 +42,81 @@ def scan_audit(df: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    dated = rows.select(*AUDIT_COLUMNS, F.to_date(F.to_timestamp("ts")).alias("dt"))
+    dated = rows.select(*AUDIT_COLUMNS, utc_day(F.col("ts")).alias("dt"))
     dated.write.mode("append").partitionBy("dt").parquet(path)
 
 
-def append_audit(spark: SparkSession, events: DataFrame, path: str) -> None:
-    """Hash events, number them after the last id and add them to the table.
+def rejects_path(path: str) -> str:
+    """Where entries that cannot be hashed are kept: beside the table."""
+    return path.rstrip("/") + "_rejects"
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a table that were set aside because their metadata is no JSON."""
+    try:
+        return spark.read.schema(AUDIT_SCHEMA).parquet(rejects_path(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], AUDIT_SCHEMA)
+
+
+def _set_aside(spark: SparkSession, rows: DataFrame, path: str) -> int:
+    """Keep rows without a hash, each as often as it comes; those kept before are not kept again."""
+    fresh_path = scratch_path(spark, "rejects")
+    rows.select(*AUDIT_COLUMNS).exceptAll(read_rejects(spark, path)).write.parquet(fresh_path)
+    fresh = spark.read.schema(AUDIT_SCHEMA).parquet(fresh_path)
+    count = fresh.count()
+    if count:
+        fresh.write.mode("append").parquet(rejects_path(path))
+    return count
+
+
+def append_audit(spark: SparkSession, events: DataFrame, path: str) -> int:
+    """Hash events, number them after the last id and add them to the table, each entry once.
 
     Events carry every audit column but id and hash.  Those without a time get
-    the current one.  The order of ids is that of time, then hash.
+    the current one.  The order of ids is that of time, then hash.  Returns how many were set aside.
     """
     stamped = events.withColumn(
         "ts",
         F.coalesce("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")),
     )
-    hashed = with_entry_hash(stamped.select(*[c for c in AUDIT_COLUMNS if c not in ("id", "entry_hash")]))
-    last = next_id(read_audit(spark, path)).first()["max_id"]
-    _write(assign_ids(hashed, ["ts", "entry_hash"], last), path)
+    return append_new(spark, stamped, path)
+
+
+# a batch that touches more days than this looks through the span from its first to its last day
+MOST_DAYS = 400
 
 
-def append_new(spark: SparkSession, events: DataFrame, path: str) -> None:
-    """Append only events whose hash the table does not hold yet.
+def append_new(spark: SparkSession, events: DataFrame, path: str) -> int:
+    """Append only events whose hash the table does not hold yet, however late they are.
 
     Running it twice with the same events adds nothing the second time.  The
     hash covers the time, so only the days that occur in the events are looked
-    through in the table.
+    through in the table.  Events that cannot be hashed are set aside in the rejects beside
+    the table, never folded; their number is returned.  One writer at a time: ids continue
+    from the highest in the table.
     """
     columns = [c for c in AUDIT_COLUMNS if c not in ("id", "entry_hash")]
-    hashed = with_entry_hash(events.select(*columns)).dropDuplicates(["entry_hash"])
-    hashed = hashed.withColumn("dt", F.to_date(F.to_timestamp("ts")))
-    present = read_audit(spark, path).select("entry_hash", "dt")
-    fresh = hashed.join(present, ["entry_hash", "dt"], "left_anti").drop("dt")
+    staged_path = scratch_path(spark, "append")
+    with_entry_hash(events.select(*columns)).withColumn("dt", utc_day(F.col("ts"))).write.parquet(staged_path)
+    staged = spark.read.schema(AUDIT_SCHEMA.removeprefix("id long, ") + ", dt date").parquet(staged_path)
+    unhashed = staged.where("entry_hash IS NULL").select(F.lit(None).cast("long").alias("id"), *columns, "entry_hash")
+    aside = _set_aside(spark, unhashed, path)
+    hashed = staged.where("entry_hash IS NOT NULL").dropDuplicates(["entry_hash"])
+    days = [row["dt"] for row in staged.select("dt").distinct().limit(MOST_DAYS + 1).collect()]
+    known = [day for day in days if day is not None]
+    if len(days) > MOST_DAYS:
+        span = staged.agg(F.min("dt").alias("first"), F.max("dt").alias("last")).first()
+        near = F.col("dt").between(span["first"], span["last"])
+    else:
+        near = F.col("dt").isin(known) if known else F.lit(False)
+    present = read_audit(spark, path).where(near | F.col("dt").isNull()).select("entry_hash")
+    fresh = hashed.join(present, "entry_hash", "left_anti").drop("dt")
     last = next_id(read_audit(spark, path)).first()["max_id"]
     _write(assign_ids(fresh, ["ts", "entry_hash"], last), path)
+    return aside
 
 
 class IdConflict(RuntimeError):
@@ -83,7 +127,7 @@ def merge_audit(spark: SparkSession, src: DataFrame, path: str) -> int:
     """Copy entries with their ids and hashes; return how many were new.
 
     Entries the table holds already are skipped, so a second run inserts none.
-    Conflicting ids are looked for first and nothing is written if there are any.
+    Entries without a hash are set aside in the rejects.  Conflicting ids, within the source or against the table, are looked for first and nothing is written if there are any.
     The new rows go to the shared scratch folder before they join the table, so
     they are found once, and are counted and written from there.
     """
@@ -91,7 +135,8 @@ def merge_audit(spark: SparkSession, src: DataFrame, path: str) -> int:
     staged_path = scratch_path(spark, "merge")
     missing_entries(src.select(*AUDIT_COLUMNS), target).write.parquet(staged_path)
     staged = spark.read.schema(AUDIT_SCHEMA).parquet(staged_path)
-    if not id_conflicts(staged, target).isEmpty():
+    if not source_conflicts(src).isEmpty() or not id_conflicts(staged, target).isEmpty():
         raise IdConflict("the same id stands for different entries; nothing was written")
+    _set_aside(spark, src.where("entry_hash IS NULL"), path)
     _write(staged, path)
     return staged.count()

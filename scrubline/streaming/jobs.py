@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scrubline.functions.canonical import entry_hash, canonical_json
 from scrubline.operators.gate import gate
 from scrubline.operators.metrics import histogram_aggregates, rate
 from scrubline.operators.scrub import scrub
@@ -30,30 +29,18 @@ def stream_gate(requests: DataFrame, **options) -> DataFrame:
     return gate(fill_skill(requests), **options)
 
 
-def start_audit_append(
-    events: DataFrame, path: str, checkpoint: str, *, delay: str = "10 minutes", **trigger
-) -> StreamingQuery:
-    """Append a stream of audit events to a table, each entry once.
+def start_audit_append(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream of audit events to a table, each entry once and none lost, however late it comes.
 
-    Copies that arrive within ``delay`` of each other are dropped in the stream;
-    later ones, and batches replayed after a failure, are found by their hash in
-    the days of the table they belong to.
+    Copies, within a batch or in batches replayed after a failure, are found by their hash in
+    the days of the table they belong to.  No state is kept.
     """
-    at = F.to_timestamp("ts")
-    hashed = events.withColumn("__canonical", canonical_json(F.col("metadata_json")))
-    distinct = (
-        hashed.withColumn("entry_hash", entry_hash(F.col("__canonical")))
-        .withColumn("ts_at", at)
-        .withWatermark("ts_at", delay)
-        .dropDuplicatesWithinWatermark(["entry_hash"])
-        .drop("ts_at", "entry_hash", "__canonical")
-    )
 
     def write(batch: DataFrame, _: int) -> None:
         append_new(batch.sparkSession, batch, path)
 
     return (
-        distinct.writeStream.foreachBatch(write)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -70,7 +57,7 @@ def stream_rate(
 def stream_histogram(
     access: DataFrame, by: list[str], every: str, *, delay: str = "10 minutes", seconds_col: str = "latency_s"
 ) -> DataFrame:
-    """Latency buckets by time window."""
+    """Latency buckets by time window; events later than ``delay`` are dropped once a window is final."""
     window = F.window("ts", every).alias("window")
     return (
         access.withWatermark("ts", delay)
