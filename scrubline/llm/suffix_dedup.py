@@ -35,8 +35,9 @@ PIECE = 24
 FILTER_BITS = 27
 FILTER_BUCKETS = 12
 MOST_STRINGS = 64
-# place and number of strings of a stretch travel as one number
-PLACE_UNIT = 128
+# places travel with a number of strings or bytes as one number
+SPAN_BITS = 8
+SPAN_UNIT = 1 << SPAN_BITS
 BLOCK_BYTES = 6 << 20
 BUCKET_SUFFIXES = 1 << 19
 # keys with more stretches than this are grouped by value instead of sorted in one task
@@ -211,8 +212,8 @@ def _hits(texts: DataFrame, length: int, keys_bits, heads_bits, schema: str) ->
                 who = owner[part]
                 if heads is None:
                     columns = [
-                        batch.column("doc_id").take(pa.array(who)), batch.column("text_hash").take(pa.array(who)),
-                        pa.array((starts[part] - begins[who]) * PLACE_UNIT + counts[part]), pa.array(hashes.view(np.int64)),
+                        batch.column("doc_id").take(pa.array(who)), batch.column("text_key").take(pa.array(who)),
+                        pa.array((starts[part] - begins[who]) * SPAN_UNIT + counts[part]), pa.array(hashes.view(np.int64)),
                     ]
                 else:
                     of = np.flatnonzero(_has(heads, _head_slot(hashes, ids[who])))
@@ -235,7 +236,7 @@ def candidate_stretches(texts: DataFrame, length: int) -> tuple[DataFrame, DataF
     context = texts.sparkSession.sparkContext
     keys = context.broadcast(repeat_filter(texts, length))
     places = stored(
-        _hits(texts, length, keys, None, "doc_id long, text_hash long, at long, stretch_hash long"), "stretches"
+        _hits(texts, length, keys, None, "doc_id long, text_key long, at long, stretch_hash long"), "stretches"
     )
     heads = stored(places.groupBy("stretch_hash").agg(F.min("doc_id").alias("head")), "stretch-heads")
     bits = context.broadcast(head_filter(heads))
@@ -394,7 +395,9 @@ def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
         "stretch_hash", "head", "from", (F.col("from") + 1).alias("to")
     )
     spans = sorted_ones.unionByName(grouped_ones)
-    return spans.groupBy("stretch_hash", "head").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return stored(
+        spans.groupBy("stretch_hash", "head").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "inner-spans"
+    )
 
 
 # --- documents --------------------------------------------------------------
@@ -425,43 +428,46 @@ def remove_repeats(
     """
     if length < 2 * PIECE:
         raise ValueError(f"strings of at least {2 * PIECE} bytes")
-    hashed = F.xxhash64("body")
-    texts = bodies(docs, id_col, text_col).withColumn("text_hash", hashed)
-    lights = texts.select("doc_id", "text_hash", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n"))
+    if length - 1 + MOST_STRINGS >= SPAN_UNIT:
+        raise ValueError(f"strings of at most {SPAN_UNIT - MOST_STRINGS} bytes")
+    # rows with equal ids but different texts are told apart
+    hashed = F.xxhash64("doc_id", "body")
+    texts = bodies(docs, id_col, text_col).withColumn("text_key", hashed)
+    lights = texts.select("doc_id", "text_key", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n"))
     firsts = lights.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = stored(
-        lights.join(firsts.drop("copies"), "digest").where("doc_id > head").select("doc_id", "text_hash", "n").distinct(), "copies"
+        lights.join(firsts.drop("copies"), "digest").where("doc_id > head").select("doc_id", "text_key", "n").distinct(), "copies"
     )
-    own = texts.join(small_or_shuffled(copies.drop("n")), ["doc_id", "text_hash"], "left_anti")
+    own = texts.join(small_or_shuffled(copies.drop("n")), ["doc_id", "text_key"], "left_anti")
     found, heads, distinct = candidate_stretches(own, length)
     inside = repeats_within(distinct, length)
     named = heads.select("stretch_hash", "head").join(inside, ["stretch_hash", "head"], "left")
     # a stretch that a smaller document holds as a whole is repeated as a whole
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
+    # a span is one number: its place, and its length, which is less than the unit
     spans = (
         found.join(named, "stretch_hash")
-        .withColumn("place", F.shiftright("at", PLACE_UNIT.bit_length() - 1)).withColumn("strings", (F.col("at") % PLACE_UNIT).cast("int"))
-        .select("doc_id", "text_hash", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
-        .select("doc_id", "text_hash", F.struct((F.col("place") + F.col("s.from")).alias("start"),
-                                                (F.col("place") + F.col("s.to") + (length - 1)).alias("end")).alias("span"))
+        .withColumn("place", F.shiftright("at", SPAN_BITS)).withColumn("strings", F.col("at").bitwiseAND(SPAN_UNIT - 1).cast("int"))
+        .select("text_key", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
+        .select("text_key", (F.shiftleft(F.col("place") + F.col("s.from"), SPAN_BITS) + (F.col("s.to") - F.col("s.from") + (length - 1))).alias("span"))
     )
-    spans = spans.unionByName(
-        copies.where(F.col("n") >= length).select("doc_id", "text_hash", F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")).alias("span"))
-    )
-    by_doc = stored(spans.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans")), "spans")
+    by_doc = stored(spans.groupBy("text_key").agg(F.collect_list("span").alias("spans")), "spans")
     carried = [F.col(f"`{name}`").alias(f"carried_{k}") for k, name in enumerate(carry)]
     whole_docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"), *carried
-    ).withColumn("text_hash", hashed)
-    joined = whole_docs.join(by_doc, ["doc_id", "text_hash"], "left").drop("text_hash")
+    ).withColumn("text_key", hashed)
+    copied = copies.select("text_key", F.lit(True).alias("copy"))
+    joined = whole_docs.join(by_doc, "text_key", "left").join(small_or_shuffled(copied), "text_key", "left").drop("text_key")
     names = [name for name in joined.columns if name.startswith("carried_")]
 
     kept_text = ["kept_text"] if texts_too else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in by_bytes(batches):
-            spans = batch.column("spans").to_pylist()
-            left = [cut_out(text, [(s["start"], s["end"]) for s in one or ()]) for text, one in zip(some, spans)]
+            left = []
+            for text, spans, copy in zip(some, batch.column("spans").to_pylist(), batch.column("copy").to_pylist()):
+                runs = [(s >> SPAN_BITS, (s >> SPAN_BITS) + (s & (SPAN_UNIT - 1))) for s in spans or ()]
+                left.append(cut_out(text, [(0, len(text))] if copy and len(text) >= length else runs))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(list(map(len, some)), pa.int64()),
                  pa.array([len(t) - len(k) for t, (k, _) in zip(some, left)], pa.int64()), pa.array([n for _, n in left], pa.int64()),
