@@ -101,19 +101,18 @@ def _zero_flips(value: Column, shift: int, width: int) -> Column:
 
 def _entries(members: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
     """Table entries (kind, mask, value) of members (kind, fp, mask, value) for each further segment (shift, width)."""
-    found = []
-    for shift, width in segments:
+
+    def of_segment(shift: int, width: int) -> Column:
         own = F.lit(_signed(((1 << width) - 1) << shift))
-        keys = _zero_flips(F.col("fp"), shift, width)
-        found.append(
-            F.transform(
-                keys,
-                lambda key, own=own: F.struct(
-                    F.col("mask").bitwiseOR(own).alias("mask"),
-                    F.col("value").bitwiseOR(key.bitwiseAND(own)).alias("value"),
-                ),
-            )
+        return F.transform(
+            _zero_flips(F.col("fp"), shift, width),
+            lambda key: F.struct(
+                F.col("mask").bitwiseOR(own).alias("mask"),
+                F.col("value").bitwiseOR(key.bitwiseAND(own)).alias("value"),
+            ),
         )
+
+    found = [of_segment(shift, width) for shift, width in segments]
     return members.select("kind", "fp", F.explode(F.concat(*found)).alias("entry")).select("kind", "fp", "entry.mask", "entry.value")
 
 
