@@ -94,11 +94,11 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
-          SELECT q.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.ints, b.ints), p -> p[1] * p[2])) AS BIGINT) AS score
+          SELECT q.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.ints, b.ints), lambda p: p[1] * p[2])) AS BIGINT) AS score
           FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
