@@ -50,6 +50,9 @@ FALLBACK_ERRORS = [
     "local model refused",
 ]
 REFUSAL_STATUS = 422
+REFUSAL_BODY = (
+    "local model refused fictional demo content — try restarting BioMistral or set LLM_PROVIDER=anthropic"
+)
 FACTS_TEMPLATE = (
     "Writing class exercise (fictional practice material).\n"
     "Task: {task}\n\n"
@@ -192,3 +195,15 @@ def reply_outcome(model: Column, first_reply: Column, retry_reply: Column) -> Co
         .when(retried, F.lit("ok_after_retry"))
         .otherwise(F.lit("ok"))
     )
+
+
+def reply_error(outcome: Column) -> Column:
+    """What a refused reply reports to the gate: ``model_error``, ``upstream_status`` and ``upstream_body``, null otherwise."""
+    return F.when(
+        outcome == "refused",
+        F.struct(
+            F.lit("api").alias("model_error"),
+            F.lit(REFUSAL_STATUS).alias("upstream_status"),
+            F.lit(REFUSAL_BODY).alias("upstream_body"),
+        ),
+    )

@@ -29,6 +29,7 @@ HIGH_RISK_AUDIT_REASON = "residual_risk_high"
 NOT_CONFIGURED_TEXT = "LLM disabled or API key not configured"
 EMPTY_REPLY_TEXT = "empty response from model"
 FALLBACK_MODEL = "stub-fallback"
+OFF_MODEL = "stub"
 AUDITED_ACTION = "inference"
 # ---------------------------------------------------------------------------
 
@@ -43,13 +44,15 @@ def gate(
     allowed_skills: list[str] = ALLOWED_SKILLS,
     block_high_risk: bool = False,
     fallback_stub: bool = False,
+    model_off: bool = False,
 ) -> DataFrame:
     """Add the decision and the de-identification result to each request.
 
     ``decision`` is ``rejected`` (too large or without a prompt, not audited), ``blocked`` or
     ``allowed``.  Blocked and rejected prompts are not scrubbed: they carry the
     result of an empty text, never the raw one.  ``entities`` switches on the
-    hybrid scrub; its spans refer to the scrubbed prompts.
+    hybrid scrub; its spans refer to the scrubbed prompts.  ``model_off`` says that no model
+    is called: what is allowed succeeds with the model ``stub``, whatever was reported.
     """
     prompt, skill = F.col("prompt"), F.col("skill")
     missing = F.when(prompt.isNull(), F.lit(PROMPT_MISSING))
@@ -74,6 +77,10 @@ def gate(
         .when(F.col("policy_reason").isNotNull() | F.col("deid_block_reason").isNotNull(), F.lit("blocked"))
         .otherwise(F.lit("allowed")),
     )
+    if model_off:
+        decided = decided.withColumn("model", F.lit(OFF_MODEL)).withColumn(
+            "model_error", F.lit(None).cast("string")
+        )
     return _with_model_result(decided, fallback_stub)
 
 

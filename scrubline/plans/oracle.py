@@ -567,8 +567,10 @@ def oracle_sql() -> dict[str, str]:
         "medical_models": f"SELECT model, {medical} AS medical, count(*) AS n FROM ({REQUESTS}) GROUP BY ALL",
         "fallback_errors": f"""SELECT request_id, {mentions("upstream_body", prompts.FALLBACK_ERRORS)} AS eligible
             FROM ({REQUESTS})""",
-        "reply_outcome": f"""SELECT conv_id, turn, CASE WHEN NOT {refused} THEN 'ok' WHEN {medical} OR {retry_refused} THEN 'refused'
-            ELSE 'ok_after_retry' END AS outcome FROM ({REPLIES})""",
+        "reply_outcome": f"""SELECT *, CASE outcome WHEN 'refused' THEN CAST(422 AS BIGINT) END AS status,
+            CASE outcome WHEN 'refused' THEN '{prompts.REFUSAL_BODY}' END AS body, outcome = 'refused' AS eligible
+            FROM (SELECT conv_id, turn, CASE WHEN NOT {refused} THEN 'ok' WHEN {medical} OR {retry_refused} THEN 'refused'
+            ELSE 'ok_after_retry' END AS outcome FROM ({REPLIES}))""",
         "stream_scrub": f"""WITH {scrubbed("SELECT conv_id, turn, text FROM conversations")},
             {assessed("done", "t", "scrubbed", "redaction_count = 0")}
             SELECT conv_id, turn, residual_risk, scrubbed, redaction_count, cats AS categories FROM rated""",
@@ -577,6 +579,6 @@ def oracle_sql() -> dict[str, str]:
             FROM ({AUDIT})""",
         "stream_request_rate": requests_rate,
         "stream_latency_histogram": f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, outcome,
-            count(*) FILTER (WHERE latency_s <= 0.25) AS within_quarter, count(*) FILTER (WHERE latency_s <= 2.5) AS within_2_5,
+            {", ".join(f"count(*) FILTER (WHERE latency_s <= {b}) AS le_{i}" for i, b in enumerate(LATENCY_BOUNDS))},
             count(*) AS latency_count, round(sum(latency_s), 4) AS latency_sum FROM ({ACCESS}) GROUP BY ALL""",
     }

@@ -649,10 +649,15 @@ def fallback_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reply_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.replies(spark, sf_dir).select(
+    replies = inputs.replies(spark, sf_dir).select(
         "conv_id", "turn",
         prompts.reply_outcome(F.col("model"), F.col("text"), F.col("retry_text")).alias("outcome"),
     )
+    error = prompts.reply_error(F.col("outcome"))
+    return replies.select(
+        "conv_id", "turn", "outcome", error["upstream_status"].cast("long").alias("status"),
+        error["upstream_body"].alias("body"), prompts.is_fallback_error(error["upstream_body"]).alias("eligible"),
+    )
 
 
 # --- streams ----------------------------------------------------------------
@@ -709,6 +714,6 @@ def stream_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = finished(spark, stream, "complete")
     return done.select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "outcome",
-        F.col("__le_6").alias("within_quarter"), F.col("__le_9").alias("within_2_5"), "latency_count",
+        *[F.col(f"__le_{i}").alias(f"le_{i}") for i in range(len(metrics.LATENCY_BOUNDS))], "latency_count",
         F.round("latency_sum", 4).alias("latency_sum"),
     )

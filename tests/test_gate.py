@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scrubline.functions.policy import policy_reason
-from scrubline.functions.prompts import reply_outcome, strip_tokens
+from scrubline.functions.prompts import REFUSAL_BODY, reply_error, reply_outcome, strip_tokens
 from scrubline.operators import access, gate
 from scrubline.sources.requests import REQUEST_SCHEMA, fill_skill, read_scenarios
 from scrubline.session import scratch_path
@@ -56,6 +56,27 @@ def test_fallback_serves_billing_errors(spark):
     assert (row.status, row.outcome, row.model) == (200, "ok", "stub-fallback")
 
 
+def test_no_model_is_called_when_it_is_off(spark):
+    rows = decide(spark, model_off=True)
+    for n in (1, 6, 7, 8):
+        assert (rows[n].status, rows[n].outcome, rows[n].model, rows[n].detail) == (200, "ok", "stub", None)
+    assert (rows[2].status, rows[2].model, rows[4].status) == (403, None, 400)
+
+
+def test_refused_reply_is_an_error(spark):
+    outcomes = spark.createDataFrame([("refused",), ("ok",)], "outcome string")
+    got = {r.outcome: r.e for r in outcomes.withColumn("e", reply_error(F.col("outcome"))).collect()}
+    assert got["ok"] is None
+    error = got["refused"]
+    rows = fill_skill(spark.createDataFrame(
+        [request(1, "clean", error=error.model_error, status=error.upstream_status, body=error.upstream_body)], REQUEST_SCHEMA
+    ))
+    row = gate.detail(gate.status_code(gate.gate(rows))).first()
+    assert (row.status, row.detail) == (502, f"api error (422): {REFUSAL_BODY}")
+    row = gate.status_code(gate.gate(rows, fallback_stub=True)).first()
+    assert (row.status, row.model) == (200, "stub-fallback")
+
+
 def test_policy_cases(spark):
     cases = [("a SSN 123-45-6789", "vault-answer", "phi_pattern_detected"),
              ("Age: 67 | MRN: HIDDEN", "vault-answer", None), ("x", "unknown", "skill_not_allowed")]
