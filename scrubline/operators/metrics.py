@@ -113,9 +113,9 @@ def rate(
     )
 
 
-def request_rate(access: DataFrame) -> DataFrame:
-    """Requests per second by handler and status, in windows of one minute."""
-    return rate(access, ["handler", "status"])
+def request_rate(access: DataFrame, by: tuple[str, ...] = ("handler", "status")) -> DataFrame:
+    """Requests per second by handler and status, or other keys such as ``method``, in windows of one minute."""
+    return rate(access, list(by))
 
 
 def append_rate(audit: DataFrame, slide: str | None = None) -> DataFrame:
