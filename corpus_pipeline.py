@@ -17,7 +17,7 @@ from scrubline.llm.queries import tokenizer
 
 # a document whose best label has less mean probability than this is in none of the languages
 LEAST_LANGUAGE_SCORE = 0.4
-# near copies: whole shingle sets, and sets of words, whose fingerprints differ in at most three bits
+# near copies are looked for by fingerprints of shingles of so many words and of sets of words, then verified
 FINGERPRINT_WORDS = 3
 
 
@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies, once."""
-    groups = simhash.near_duplicates(docs, words_each=FINGERPRINT_WORDS, also_word_sets=True)
+    """Keep the smallest id of each group of near copies, once; near copies share 0.8 or more of their five-word shingles."""
+    groups = simhash.verified_groups(docs, words_each=FINGERPRINT_WORDS)
     heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("named_id")).distinct()
     kept = _named(docs, heads, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))

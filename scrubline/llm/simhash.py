@@ -9,6 +9,9 @@ Equal fingerprints are folded first.  An entry that many fingerprints share is l
 again with the half (then quarter) segments of its remaining bits, by the same rule, until
 at most eight bits are open, so no entry is compared whole when it is large.
 An entry yields a spanning forest of its links, not all pairs.
+
+Fingerprints alone do not say how alike two texts are.  ``verified_groups`` takes what they link only as blocks, within which
+texts are compared by their whole sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import bodies, stored
+from scrubline.llm.common import bodies, by_bytes, small_or_shuffled, stored
 from scrubline.llm.components import components
 
 SEED = 42
@@ -30,6 +33,9 @@ WORD_SET_KINDS = 4
 # an entry with more fingerprints than this is cut further; it decides the way only, not the result
 ENTRY_SIZE = 2048
 COMPARED_AT_ONCE = 1 << 20
+# the rule of near copies: shingles of so many words, and the share in tenths that two sets have in common
+SHINGLE_WORDS = 5
+LEAST_TENTHS = 8
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -222,3 +228,125 @@ def near_duplicates(
     return rows.select("doc_id", F.col("fps")[0].alias("fp")).join(lookup, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# --- verified groups --------------------------------------------------------
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct five-word shingles; a text with fewer words is one, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE_WORDS)))) if len(words) >= SHINGLE_WORDS else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def _signatures(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, fps): a text's shingle set by its hash, and all fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("body").to_pylist()
+            keys = pa.array([_set_key(shingle_set(text)) for text in texts], pa.int64())
+            values = [[fingerprint(text, words_each), *word_set_fingerprints(text)] for text in texts]
+            fps = pa.array([np.array(v, np.uint64).view(np.int64) for v in values], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, fps], ["doc_id", "key", "fps"])
+
+    return bodies(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, shingles) of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches):
+            sets = [shingle_set(text) for text in texts]
+            shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), shingles], ["key", "shingles"])
+
+    return bodies(docs, id_col, text_col).mapInArrow(run, "key long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of keys whose shingle sets share eight tenths of their union or more."""
+    both = (
+        pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+        .select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    )
+    return both.where(f"10 * shared >= {LEAST_TENTHS} * (nx + ny - shared)").select("a", "b")
+
+
+def _rare_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): keys of different groups of a block that may be alike, of members (key, block, own, shingles).
+
+    Of two sets alike by the rule, each holds a shingle of the other among its own rarest; how many of these are looked at
+    follows from the size of the set, so no pair is lost.
+    """
+    each = members.select("key", "block", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    spread = each.groupBy("block", "s").agg(F.count(F.lit(1)).alias("times"), F.min("own").alias("low"), F.max("own").alias("high"))
+    order = Window.partitionBy("key").orderBy("times", "s")
+    looked_at = (
+        each.join(spread, ["block", "s"]).withColumn("place", F.row_number().over(order))
+        .where(f"place <= n - ceil({LEAST_TENTHS} * n / 10) + 1 AND low < high").select("block", "s", "key", "own", "n")
+    )
+    looked_at = stored(looked_at, "rare-shingles")
+    one, two = looked_at.alias("one"), looked_at.alias("two")
+    near = (
+        "one.block = two.block AND one.s = two.s AND one.own < two.own "
+        f"AND 10 * one.n >= {LEAST_TENTHS} * two.n AND 10 * two.n >= {LEAST_TENTHS} * one.n"
+    )
+    return one.join(two, F.expr(near)).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
+
+
+def verified_groups(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id and the smallest doc_id of its group.
+
+    Two texts link if their whole sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what links
+    reach.  Pairs are looked for within blocks: what fingerprints of shingles and of word sets connect.  First the links
+    of a block's spanning forest are verified, then every pair its groups leave open that can be alike.
+    Texts with equal sets are one.  Rows with equal ids each give a row.  A row without an id takes the smallest id of its
+    group, null if the group has none.
+    """
+    rows = stored(_signatures(docs, words_each, id_col, text_col), "signatures")
+    each = rows.select("key", F.posexplode("fps").alias("kind", "fp")).distinct()
+    heads = stored(each.groupBy("kind", "fp").agg(F.min("key").alias("head")), "signature-heads")
+    found = stored(links(heads), "signature-links")
+    pairs = (
+        found.join(heads.select("kind", F.col("fp").alias("u"), F.col("head").alias("a")), ["kind", "u"])
+        .join(heads.select("kind", F.col("fp").alias("v"), F.col("head").alias("b")), ["kind", "v"]).select("a", "b")
+        .unionByName(each.join(heads, ["kind", "fp"]).select(F.col("key").alias("a"), F.col("head").alias("b")))
+        .where("a <> b")
+    )
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    blocks = stored(components(pairs, "a", "b"), "blocks")
+    nodes = blocks.select(F.col("node").alias("key"), F.col("component").alias("block"))
+    # one text of each set is read again; a text without an id cannot be looked up, so all of those are read
+    wanted = stored(
+        rows.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("wanted_id")).where("wanted_id IS NOT NULL")
+        .select("wanted_id").distinct(),
+        "wanted",
+    )
+    named = docs.join(small_or_shuffled(wanted), docs[id_col].cast("long") == F.col("wanted_id"), "left_semi")
+    texts = named.unionByName(docs.where(F.col(id_col).isNull())).select(id_col, text_col)
+    sets = stored(_shingle_sets(texts, id_col, text_col).join(nodes, "key", "left_semi").dropDuplicates(["key"]), "shingle-sets")
+    linked = stored(_alike(pairs, sets), "verified-links")
+    groups = components(linked, "a", "b")
+    members = stored(
+        nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "block", F.coalesce("component", "key").alias("own")),
+        "members",
+    )
+    open_blocks = members.groupBy("block").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("block")
+    more = _alike(_rare_pairs(members.join(open_blocks, "block", "left_semi").join(sets, "key")), sets)
+    groups = components(linked.unionByName(more), "a", "b")
+    placed = stored(
+        rows.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("component", "key").alias("component")),
+        "placed",
+    )
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "component").select("doc_id", "component_id")

@@ -321,3 +321,38 @@ def test_pipeline_stages(spark, odd, none, sf_dir, tmp_path):
     assert 1 in groups and 5 not in groups and 11 not in groups
     passages = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, odd, sf_dir).collect()}
     assert passages[2] == "Another one!" and 5 not in passages and passages[3] is None
+
+
+def shingles_of(text):
+    words = body(text).lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups_by_similarity(rows):
+    """The smallest id of each document's group, by all pairs of 0.8 or more."""
+    sets, least = [(i, shingles_of(t)) for i, t in rows], {i: i for i, _ in rows}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x == y or 10 * len(x & y) >= 8 * len(x | y):
+                a, b = sorted((least[i], least[j]))
+                least = {n: a if m == b else m for n, m in least.items()}
+    return least
+
+
+def test_near_copies_are_verified(spark, odd, sf_dir):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    rows = [(100, " ".join(words)), (101, " ".join(words[::-1])), (102, " ".join(words[100:] + words[:100]))]
+    for k in range(12):
+        edited = list(words)
+        for at in rng.choice(200, k, replace=False):
+            edited[at] = f"new{k}-{at}"
+        rows.append((110 + k, " ".join(edited)))
+    made = frame(spark, [(i, t, "en") for i, t in rows])
+    want = groups_by_similarity(rows)
+    assert want[101] == 101 and want[102] == 100 and want[121] == 121
+    assert {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(made).collect()} == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, made, sf_dir).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, least in want.items() if i == least}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(odd.where("doc_id IS NOT NULL")).collect()}
+    assert found == groups_by_similarity([(i, t) for i, t, _ in ODD if i is not None])
