@@ -356,3 +356,17 @@ def test_near_copies_are_verified(spark, odd, sf_dir):
     assert {r["doc_id"] for r in kept} == {i for i, least in want.items() if i == least}
     found = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(odd.where("doc_id IS NOT NULL")).collect()}
     assert found == groups_by_similarity([(i, t) for i, t, _ in ODD if i is not None])
+
+
+def test_mixer_is_fitted_on_whole_texts_of_all_kept_documents(spark):
+    """Bytes after the first 2,048, and texts after the first 128, count; copies of a text count once."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"t{k}{w}" for w in rng.integers(0, 50, 700 if k % 50 == 0 else 40)) for k in range(200)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(1_000 + k, texts[0], "en") for k in range(150)]
+    learned = frame(spark, rows).selectExpr("cast(text AS binary) AS body", "doc_id % 2 = 1 AS kept")
+    parts = context_mixing.count_tables(learned)
+    found = context_mixing.fit_in_tasks(parts, learned)
+    want = context_mixing.fit_mixer(context_mixing.slot_tables(parts, "without"), [t.encode() for t in texts])
+    assert np.allclose(found.weights, want.weights, atol=1e-3)
+    counted = context_mixing.cells_of(want.weights, context_mixing.slot_tables(parts, "without"), [t.encode() for t in texts])
+    assert counted[0].sum() == 8 * sum(len(t) + 1 for t in texts) and np.abs(found.refined - want.refined).mean() < 1e-2
