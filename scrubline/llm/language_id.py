@@ -217,17 +217,17 @@ def label_positions(net: Network, text: bytes) -> list[str]:
 def train(
     docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", docs_each: int = SAMPLE_DOCS
 ) -> Network | None:
-    """Fit on at most ``docs_each`` documents of each label among the rows where ``learn`` holds.
+    """Fit on at most ``docs_each`` different texts of each label among the rows where ``learn`` holds.
 
-    The documents are those with the smallest hashes of their texts, so they are spread over
+    The texts are those with the smallest hashes, so they are spread over
     the table and the same in any partitioning.  Rows without text or label are not learned from; None if there are no others.
     """
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("body"), learn.alias("learn")
     ).where("learn AND label IS NOT NULL AND body <> ''")
-    hashed = labelled.select("label", F.xxhash64("body").alias("h"))
+    hashed = labelled.select("label", F.xxhash64("body").alias("h")).distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = stored(hashed.withColumn("place", place).where(F.col("place") <= docs_each).select("label", "h").distinct(), "language-sample")
+    chosen = stored(hashed.withColumn("place", place).where(F.col("place") <= docs_each).select("label", "h"), "language-sample")
     rows = (
         labelled.withColumn("h", F.xxhash64("body")).join(F.broadcast(chosen), ["label", "h"], "left_semi")
         .dropDuplicates(["label", "h"])

@@ -370,3 +370,14 @@ def test_mixer_is_fitted_on_whole_texts_of_all_kept_documents(spark):
     assert np.allclose(found.weights, want.weights, atol=1e-3)
     counted = context_mixing.cells_of(want.weights, context_mixing.slot_tables(parts, "without"), [t.encode() for t in texts])
     assert counted[0].sum() == 8 * sum(len(t) + 1 for t in texts) and np.abs(found.refined - want.refined).mean() < 1e-2
+
+
+def test_copies_take_no_places_in_the_language_sample(spark, monkeypatch):
+    texts = [f"some text number {k} of the sample" for k in range(12)]
+    hashed = frame(spark, [(k, t, "en") for k, t in enumerate(texts)]).select("doc_id", F.xxhash64("text").alias("h"))
+    lowest = hashed.orderBy("h").first()["doc_id"]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(100 + k, texts[lowest], "en") for k in range(50)]
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda windows, truth, labels: seen.append(len({w.tobytes() for w in windows})))
+    language_id.train(frame(spark, rows), F.lit(True), docs_each=10)
+    assert seen == [10]
