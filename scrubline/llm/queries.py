@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm import (
+    best_fit,
     context_mixing,
+    conversation_repair,
     decontaminate,
     language_id,
     packing,
+    periodic_runs,
     quality,
     simhash,
     suffix_dedup,
@@ -76,6 +79,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(whole, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), present_col="present")
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc": op2_warc,
@@ -87,6 +103,9 @@ QUERIES = {
     "op8_curve_packing": op8_curve_packing,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_best_fit": op13_best_fit,
 }
 
 # DuckDB twins. The other queries have none: training, tokenizers and 64-bit shingle hashes are not SQL,
