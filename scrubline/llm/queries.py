@@ -15,6 +15,7 @@ from scrubline.llm import (
     periodic_runs,
     quality,
     simhash,
+    structure_sql,
     suffix_dedup,
     token_counts,
     topk,
@@ -129,4 +130,6 @@ ORACLE_SQL = {
           CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN first_id < page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op11_periodic_runs": structure_sql.PERIODIC_RUNS,
+    "op12_conversation_repair": structure_sql.CONVERSATION_REPAIR,
 }

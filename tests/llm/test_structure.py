@@ -382,3 +382,18 @@ def test_best_fit_of_the_table_needs_few_sequences(spark, sf_dir):
     total, used, docs = found.agg(F.sum("length"), F.countDistinct("sequence_id"), F.countDistinct("doc_id")).first()
     assert docs == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert used <= 1.02 * -(-total // 1024) + 1
+
+
+# --- SQL --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_conversation_repair"])
+def test_matches_sql(spark, sf_dir, name):
+    import duckdb
+
+    from tools.check_oracle import compare
+
+    connection = duckdb.connect()
+    for table in ("documents", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    assert compare(spark, connection, name, sf_dir)[0].startswith("ok")
