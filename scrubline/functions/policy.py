@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrubline.functions.rules import LINEAR_EMAIL
+from scrubline.functions.matching import skipping
+from scrubline.functions.rules import LINEAR_EMAIL, rule
 
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
 ALLOWED_SKILLS = ["vault-answer"]
 DEFAULT_SKILL = "vault-answer"
-BLOCK_SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-BLOCK_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-BLOCK_PHONE = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
+BLOCK_SSN = rule("r14").pattern
+BLOCK_EMAIL = rule("r13").pattern
+BLOCK_PHONE = rule("r12").pattern
 SKILL_REASON = "skill_not_allowed"
 PATTERN_REASON = "phi_pattern_detected"
 PROMPT_BYTES = 4000
@@ -29,7 +30,7 @@ def _finds(text: Column, pattern: str) -> Column:
 
 
 def has_ssn(text: Column) -> Column:
-    return _finds(text, BLOCK_SSN)
+    return _finds(text, skipping(BLOCK_SSN))
 
 
 def has_email(text: Column) -> Column:

@@ -94,9 +94,13 @@ def _fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
+# what counts as white space at the ends of a line, in Unicode
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def _trim(text: Column) -> Column:
-    """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Drop white space of any kind at both ends, looking at each character once."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def split_prompt(prompt: Column) -> Column:
@@ -123,7 +127,7 @@ def strip_tokens(text: Column) -> Column:
     def clean(line: Column) -> Column:
         line = F.regexp_replace(line, "(?U)" + HEADER, HEADER_REPLACEMENT)
         line = _trim(F.regexp_replace(line, TOKEN, ""))
-        return _trim(F.regexp_replace(line, r"^\|+|\|+\z", ""))
+        return _trim(F.btrim(line, F.lit("|")))
 
     kept = F.filter(F.transform(_lines(text), clean), lambda line: line != "")
     return _trim(F.array_join(kept, "\n"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrubline.functions.rules import LINEAR_EMAIL
+from scrubline.functions.matching import skipping
+from scrubline.functions.rules import LINEAR_EMAIL, rule
 
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-POSSIBLE_SSN = r"\b\d{3}-\d{2}-\d{4}\b"
+POSSIBLE_SSN = rule("r14").pattern
 POSSIBLE_PHONE = r"\b\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
-POSSIBLE_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+POSSIBLE_EMAIL = rule("r13").pattern
 POSSIBLE_NAME = r"\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b"
 CLINICAL_ALLOWLIST = [
     "DE-IDENTIFIED",
@@ -55,7 +56,7 @@ def residual_warnings(text: Column, categories: Column) -> Column:
     finds = lambda pattern: text.rlike("(?U)" + pattern)
     warnings = F.array_compact(
         F.array(
-            F.when(finds(POSSIBLE_SSN), F.lit(SSN_WARNING)),
+            F.when(finds(skipping(POSSIBLE_SSN)), F.lit(SSN_WARNING)),
             F.when(finds(POSSIBLE_PHONE), F.lit(PHONE_WARNING)),
             F.when(text.contains("@") & finds(LINEAR_EMAIL), F.lit(EMAIL_WARNING)),
             F.concat(F.lit(NAME_WARNING), first_name_pair(text)),

@@ -2,8 +2,8 @@
 
 Everything under the *fixed values* banner is data: category names, patterns,
 tokens and entity types.  They decide the output byte for byte, so they are
-written out plainly and in application order.  The code below the banner turns
-that data into Spark columns.
+written out plainly and in application order.  What the rules need in a text and how they run fast is
+derived from them, or from any other list of rules, in ``matching``.
 """
 
 from __future__ import annotations
@@ -13,26 +13,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrubline.functions.matching import fast_form
+
 
 @dataclass(frozen=True)
 class Rule:
-    """One redaction rule: what it matches, and the token that replaces it."""
+    """One redaction rule: what it matches, and the token that replaces it.
+
+    ``fast`` and ``fast_token`` may give a form that does the same in linear time, where the one that is derived
+    from the pattern does not.  ``$1`` in a token stands for the first group.
+    """
 
     name: str
     category: str
     pattern: str
     token: str
+    fast: str = ""
+    fast_token: str = ""
 
     @property
     def java(self) -> str:
-        """The pattern as Spark runs it.
+        """The pattern as Spark runs it: ``(?U)`` makes ``\\w \\d \\s \\b`` Unicode-aware."""
+        return "(?U)" + fast_form(self.pattern)
+
 
-        ``(?U)`` makes ``\\w \\d \\s \\b`` Unicode-aware.  The look-ahead only names
-        characters a match can start with, so positions that cannot match are
-        given up before the costlier word-boundary test.
-        """
-        first = FIRST_CHARACTERS.get(self.name)
-        return "(?U)" + (f"(?={first})" if first else "") + self.pattern
+# The address pattern (r13) tries every start in a long dotted run anew.  This form matches the same text
+# but reads a run of such characters once: it goes from the run's start, or from the end of the last match in it,
+# to the first word boundary, group 1, and never gives back what follows up to the ``@``.
+EMAIL_RUN = "[A-Za-z0-9._%+-]"
+LINEAR_EMAIL = (
+    rf"(?:(?<!{EMAIL_RUN})|\G)((?:\B{EMAIL_RUN})*+)\b{EMAIL_RUN}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b"
+)
 
 
 # ---------------------------------------------------------------------------
@@ -104,7 +115,10 @@ RULES = [
         r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
         "[REDACTED-PHONE]",
     ),
-    Rule("r13", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED-EMAIL]"),
+    Rule(
+        "r13", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED-EMAIL]",
+        LINEAR_EMAIL, "$1[REDACTED-EMAIL]",
+    ),
     Rule("r14", "ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED-SSN]"),
     Rule(
         "r15", "mrn",
@@ -210,101 +224,6 @@ def rule(name: str) -> Rule:
     return next(r for r in RULES if r.name == name)
 
 
-# Characters a match of each rule can start with.  This is a speed-up only.
-FIRST_CHARACTERS = {
-    "r01": "[PpMmDdFfSsBb]",
-    "r02": "[A-Z]",
-    "r03": r"\d",
-    "r04": "[A-Z]",
-    "r05": r"\d",
-    "r06": r"\d",
-    "r07": "[JFMASOND]",
-    "r08": r"\d",
-    "r09": r"[Aa\d]",
-    "r10": r"[Aa\d]",
-    "r11": "[Ff]",
-    "r12": r"[+(\d]",
-    "r13": "[A-Za-z0-9._%+-]",
-    "r14": r"\d",
-    "r15": "[MmPpSsſ]",
-    "r16": "[MmSsſBbPpHh]",
-    "r17": "[Aa]",
-    "r18": "[LlCc]",
-    "r19": "[VvLlPp]",
-    "r20": "[DdSsſIiUu]",
-    "r22": r"\d",
-    "r23": "[FfVvRrBb]",
-    "r24": "[PpFfHh]",
-    "r25": "[EeVvOoAa]",
-    "r27": "[SsſGg]",
-}
-
-
-# The address pattern (r13) tries every start in a long dotted run anew.  This form matches the same text
-# but reads a run of such characters once: it goes from the run's start to its first word
-# boundary, group 1, and never gives back what follows up to the ``@``.
-EMAIL_RUN = "[A-Za-z0-9._%+-]"
-LINEAR_EMAIL = (
-    rf"(?<!{EMAIL_RUN})((?:\B{EMAIL_RUN})*+)\b{EMAIL_RUN}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b"
-)
-
-
-# What a text must contain, case folded, for a rule to match in it: one of these.
-# This is a speed-up only; a rule that is not listed is always tried.
-NEEDED_TEXT = {
-    "r02": [","],
-    "r04": [","],
-    "r06": ["/", "-"],
-    "r08": ["-"],
-    "r09": ["age", "old"],
-    "r10": ["age", "old", "yo", "y/o"],
-    "r11": ["fax", "facsimile"],
-    "r13": ["@"],
-    "r14": ["-"],
-    "r15": ["mrn", "medical record", "patient id", "study id"],
-    "r16": ["member id", "subscriber id", "beneficiary", "policy", "health plan id"],
-    "r17": ["account", "acct"],
-    "r18": ["lic", "cert"],
-    "r19": ["vin", "vehicle id", "license plate", "plate number"],
-    "r20": ["device id", "device serial", "serial number", "implant id", "udi"],
-    "r21": ["http"],
-    "r22": ["."],
-    "r23": ["fingerprint", "voice print", "voiceprint", "retina scan", "biometric"],
-    "r24": ["patient photo", "facial image", "headshot", "portrait photo"],
-    "r25": ["encounter id", "visit id", "order id", "accession"],
-    "r26": ["#"],
-    "r27": ["sex", "gender"],
-}
-
-
-def probe_pattern() -> str:
-    """A pattern that finds something wherever any rule would.
-
-    It may also find more (an ``@`` that is no address, say): a text it passes
-    over is certain to be left alone by every rule, which is all it is used for.
-    Rules that start at a word are tried only where no ASCII word character
-    comes before, a test far cheaper than the full word boundary.
-    """
-
-    def body(r: Rule) -> str:
-        folded = r.pattern.startswith("(?i)")
-        rest = r.pattern.removeprefix("(?i)").removeprefix(r"\b")
-        return f"(?i:{rest})" if folded else rest
-
-    loose = {"r12", "r13", "r21", "r26"}
-    digits = [r for r in RULES if FIRST_CHARACTERS.get(r.name) == r"\d"]
-    words = [r for r in RULES if r not in digits and r.name not in loose]
-    return (
-        r"(?U)(?<![0-9A-Za-z_])(?:"
-        + r"(?=\d)\b(?:" + "|".join(body(r) for r in digits) + ")"
-        + r"|(?=[A-Za-zſ\d])\b(?:" + "|".join(body(r) for r in words) + "))"
-        + r"|(?=[+(\d])" + rule("r12").pattern
-        + r"|@[A-Za-z0-9.-]"
-        + r"|https?://"
-        + r"|#\d"
-    )
-
-
 def category_table(spark: SparkSession) -> DataFrame:
     """The 18 categories as a table of ordinal and slug."""
     slugs = F.array(*[F.lit(c) for c in CATEGORIES])

@@ -12,6 +12,8 @@ model call reported: ``model`` (its label), ``model_error`` (null,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from scrubline.functions.policy import ALLOWED_SKILLS, policy_reason, size_error
 from scrubline.functions.prompts import is_fallback_error
 from scrubline.functions.risk import is_high_risk_block
 from scrubline.operators.scrub import scrub
-from scrubline.operators.spans import assess, scrub_hybrid
+from scrubline.operators.spans import assess, hybrid
+from scrubline.session import written
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -28,6 +31,7 @@ HIGH_RISK_REASON = "deid_residual_risk_high"
 HIGH_RISK_AUDIT_REASON = "residual_risk_high"
 NOT_CONFIGURED_TEXT = "LLM disabled or API key not configured"
 EMPTY_REPLY_TEXT = "empty response from model"
+UNKNOWN_STATUS = "unknown"
 FALLBACK_MODEL = "stub-fallback"
 OFF_MODEL = "stub"
 AUDITED_ACTION = "inference"
@@ -40,7 +44,7 @@ PROMPT_MISSING = "prompt is required"
 def gate(
     requests: DataFrame,
     *,
-    entities: DataFrame | None = None,
+    entities: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     allowed_skills: list[str] = ALLOWED_SKILLS,
     block_high_risk: bool = False,
     fallback_stub: bool = False,
@@ -51,7 +55,8 @@ def gate(
     ``decision`` is ``rejected`` (too large or without a prompt, not audited), ``blocked`` or
     ``allowed``.  Blocked and rejected prompts are not scrubbed: they carry the
     result of an empty text, never the raw one.  ``entities`` switches on the
-    hybrid scrub; its spans refer to the scrubbed prompts.  ``model_off`` says that no model
+    hybrid scrub; its spans refer to the scrubbed prompts.  It may be a function that finds them in the
+    requests with their ``scrubbed`` prompts, which are then written once and read by both.  ``model_off`` says that no model
     is called: what is allowed succeeds with the model ``stub``, whatever was reported.
     """
     prompt, skill = F.col("prompt"), F.col("skill")
@@ -63,11 +68,14 @@ def gate(
     )
     passes = F.col("size_error").isNull() & F.col("policy_reason").isNull()
     checked = checked.withColumn("__checked", F.when(passes, prompt).otherwise(F.lit("")))
+    scrubbed = scrub(checked, "__checked").drop("__checked")
     if entities is None:
-        scrubbed = assess(scrub(checked, "__checked"))
+        scrubbed = assess(scrubbed)
     else:
-        scrubbed = scrub_hybrid(checked, entities, "request_id", "__checked").drop("overlap_count")
-    scrubbed = scrubbed.drop("__checked")
+        if callable(entities):
+            scrubbed = written(scrubbed, "gated")
+            entities = entities(scrubbed)
+        scrubbed = hybrid(scrubbed, entities, "request_id").drop("overlap_count")
 
     held = is_high_risk_block(F.col("residual_risk"), block_high_risk)
     decided = scrubbed.withColumn("deid_block_reason", F.when(held, F.lit(HIGH_RISK_REASON)))
@@ -107,10 +115,12 @@ def _with_model_result(decided: DataFrame, fallback_stub: bool) -> DataFrame:
 
 
 def model_error_text(kind: Column, status: Column, body: Column) -> Column:
+    """The message of a model's error; one that came without a body or a status still has a message."""
+    body, status = F.coalesce(body, F.lit("")), F.coalesce(status.cast("string"), F.lit(UNKNOWN_STATUS))
     return (
         F.when(kind == "not_configured", F.lit(NOT_CONFIGURED_TEXT))
         .when(kind == "http", F.concat(F.lit("http error: "), body))
-        .when(kind == "api", F.concat(F.lit("api error ("), status.cast("string"), F.lit("): "), body))
+        .when(kind == "api", F.concat(F.lit("api error ("), status, F.lit("): "), body))
         .when(kind == "empty", F.lit(EMPTY_REPLY_TEXT))
     )
 

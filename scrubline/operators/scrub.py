@@ -1,9 +1,8 @@
-"""De-identify a text column with the Safe Harbor rules.
+"""De-identify a text column with the Safe Harbor rules, or with any other list of rules.
 
-One probe pattern, run in the JVM, tells the texts any rule could touch from the
-clean ones.  Only the former cross over to Python, in Arrow batches, where the
-27 rules run with compiled patterns; a clean text never leaves the JVM.  No rule
-looks beyond its own row, so there is no shuffle.
+Texts cross to Python in Arrow batches, where an automaton over the words that the rules need tells which of
+them are worth trying (see ``matching``); for most texts that is none, and nothing but a null comes back.  No rule looks
+beyond its own row, so there is no shuffle.
 
 The rules are not a chain of column expressions on purpose: three passes make 81
 nested replacements, which the optimizer copies into every condition on the
@@ -13,6 +12,7 @@ result and the code generator cannot compile.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.functions.rules import CATEGORIES, LINEAR_EMAIL, NEEDED_TEXT, PASSES, RULES, probe_pattern
+from scrubline.functions.matching import RuleRunner, categories_of
+from scrubline.functions.rules import CATEGORIES, PASSES, RULES, Rule
 
 RESULT_COLUMNS = ("redaction_count", "categories", "category_counts")
 
@@ -34,58 +35,30 @@ SCRUBBED = T.StructType(
 )
 
 
-def _compiled(engine):
-    """The probe and the rules; the engine keeps what it compiled before."""
-    probe = engine.compile(probe_pattern().removeprefix("(?U)"))
-    rules = [
-        (
-            NEEDED_TEXT.get(r.name),
-            engine.compile(LINEAR_EMAIL if r.name == "r13" else r.pattern),
-            r"\1" + r.token if r.name == "r13" else r.token.replace("$1", r"\1"),
-            CATEGORIES.index(r.category),
-        )
-        for r in RULES
-    ]
-    return probe, rules
-
-
 # The faster engine takes these for white space, which they are not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+# what comes back for a text that stays as it is
+NOTHING = (None, None, None, None)
 
 
-def _scrub_text(text: str, plain, full):
-    # outside ASCII, only the slower engine knows all word characters
-    probe, rules = plain if text.isascii() and not SEPARATORS.search(text) else full
-    counts = [0] * len(CATEGORIES)
-    for n in range(PASSES):
-        # a pass that would find nothing leaves the text as it is, and so would the next
-        if n and not probe.search(text):
-            break
-        before = sum(counts)
-        folded = text.casefold()
-        for needed, pattern, token, category in rules:
-            if needed and not any(word in folded for word in needed):
-                continue
-            text, found = pattern.subn(token, text)
-            if found:
-                counts[category] += found
-                folded = text.casefold()
-        if sum(counts) == before:
-            break
-    hit = [i for i, count in enumerate(counts) if count]
-    return text, sum(counts), [CATEGORIES[i] for i in hit], [counts[i] for i in hit]
-
-
-@F.pandas_udf(SCRUBBED)
-def _scrub_batch(texts: pd.Series) -> pd.DataFrame:
-    nothing = (None, None, None, None)
-    plain, full = _compiled(re), _compiled(regex)
-    rows = [nothing if text is None else _scrub_text(text, plain, full) for text in texts]
-    return pd.DataFrame(rows, columns=SCRUBBED.names, dtype=object)
-
-
-# Marked so that conditions on the result do not run the function once more.
-_scrub_once = _scrub_batch.asNondeterministic()
+def _scrubber(rules: Sequence[Rule], passes: int):
+    """The rules as a function of a text column, marked so that conditions on the result do not run it once more."""
+    rules, names = tuple(rules), categories_of(rules, CATEGORIES)
+
+    @F.pandas_udf(SCRUBBED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # outside ASCII, only the slower engine knows all word characters
+        plain, full = (RuleRunner(rules, names, passes, engine) for engine in (re, regex))
+        for texts in batches:
+            rows = []
+            for text in texts:
+                done = NOTHING
+                if text:
+                    done = (plain if text.isascii() and not SEPARATORS.search(text) else full).run(text)
+                rows.append(done if done[1] else NOTHING)
+            yield pd.DataFrame(rows, columns=SCRUBBED.names, dtype=object)
+
+    return run.asNondeterministic()
 
 
 def scrub(
@@ -95,9 +68,14 @@ def scrub(
     out: str = "scrubbed",
     only: Column | None = None,
     counts: bool = False,
+    rules: Sequence[Rule] = RULES,
+    passes: int = PASSES,
 ) -> DataFrame:
     """Add ``out``, ``redaction_count`` and ``categories`` to every row.
 
+    ``rules`` are applied in their order, the whole list ``passes`` times.  They may name
+    categories of their own, which come after the known ones.
+
     ``only`` limits the work to rows where it holds; other rows keep their text
     and report no redactions.  ``counts`` adds ``category_counts``, an array of
     ``(category, n)`` for the categories hit.  A null text stays null, with a
@@ -107,14 +85,8 @@ def scrub(
     pushed through it.
     """
     keep = [c for c in df.columns if c != out and c not in RESULT_COLUMNS]
-    touched = F.col(text_col).rlike(probe_pattern())
-    if only is not None:
-        touched = only & touched
-    done = df.select(
-        *keep,
-        F.col(text_col).alias("__text"),
-        _scrub_once(F.when(touched, F.col(text_col))).alias("__done"),
-    )
+    looked_at = F.col(text_col) if only is None else F.when(only, F.col(text_col))
+    done = df.select(*keep, F.col(text_col).alias("__text"), _scrubber(rules, passes)(looked_at).alias("__done"))
     known = F.col("__text").isNotNull()
     none = F.array().cast("array<string>")
     result = [

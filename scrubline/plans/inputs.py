@@ -8,9 +8,10 @@ oracle; everything else is stated separately on each side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrubline.functions.rules import ENTITY_TYPES, RULES, Rule
 from scrubline.operators.audit import with_entry_hash
 from scrubline.sources.requests import fill_skill
 
@@ -61,10 +62,10 @@ MODEL = "CASE note_id % 3 WHEN 0 THEN 'BioMistral-7B' WHEN 1 THEN 'llama3.2:1b'
 MODEL_ERROR = """CASE note_id % 23 WHEN 1 THEN 'not_configured' WHEN 2 THEN 'http' WHEN 3 THEN 'api'
   WHEN 4 THEN 'api' WHEN 5 THEN 'api' WHEN 6 THEN 'empty' END"""
 
-UPSTREAM_STATUS = "CASE note_id % 23 WHEN 3 THEN 400 WHEN 4 THEN 402 WHEN 5 THEN 529 END"
+UPSTREAM_STATUS = "CASE note_id % 23 WHEN 3 THEN 400 WHEN 4 THEN 402 WHEN 5 THEN CASE WHEN note_id % 4 < 3 THEN 529 END END"
 
 UPSTREAM_BODY = """CASE note_id % 23 WHEN 2 THEN 'Connection refused (os error 111)' WHEN 3 THEN 'bad input'
-  WHEN 4 THEN 'Your credit balance is too low' WHEN 5 THEN 'overloaded' END"""
+  WHEN 4 THEN 'Your credit balance is too low' WHEN 5 THEN CASE WHEN note_id % 2 = 0 THEN 'overloaded' END END"""
 
 AUDIT_ERROR = "CASE WHEN note_id % 31 = 0 THEN 'sqlite error: disk full' END"
 
@@ -106,6 +107,12 @@ EVENT_ROLE = "CASE user_id % 3 WHEN 0 THEN 'operator' WHEN 1 THEN 'auditor' END"
 # words looked up in a text as stand-ins for what an entity recogniser finds
 ENTITY_WORDS = [("seen", "PERSON"), ("Discharge", "LOCATION"), ("stable", "ORGANISATION")]
 
+# a list of rules other than the built-in one: no postal codes, but references of the ward, before all else
+WARD_RULES = [
+    Rule("w01", "ward_reference", r"(?i)\b(?:certificate|subscriber id)\s*[:#]?\s*[\w-]+\b", "[WARD-REF]"),
+    *[r for r in RULES if r.name != "r05"],
+]
+
 CUTOVER = "2024-01-20T00:00:00"
 
 # --- Spark side -------------------------------------------------------------
@@ -233,6 +240,28 @@ def entities_in(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.inline(spans)).where("start >= 0")
 
 
+# the kinds of entities that words are marked with in turn; the last is none of the known ones
+WORD_KINDS = [*ENTITY_TYPES, "ORGANISATION"]
+# so many characters of the word behind it a span may reach into
+REACH = 2
+
+
+def word_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three words of every document as spans; the first of each two reaches into the second."""
+    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    words = documents.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("at", "word"))
+    in_text = Window.partitionBy("doc_id").orderBy("at")
+    before = F.coalesce(F.sum(F.length("word") + 1).over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = F.coalesce(F.length(F.lead("word").over(in_text)), F.lit(0))
+    placed = words.select("doc_id", "at", F.length("word").alias("size"), before.alias("start"), behind.alias("behind"))
+    reaches = (F.col("at") % 3 == 0) & (F.col("behind") > 0)
+    end = F.col("start") + F.col("size") + F.when(reaches, 1 + F.least(F.col("behind"), F.lit(REACH))).otherwise(0)
+    kind = F.element_at(F.array(*map(F.lit, WORD_KINDS)), ((F.col("at") + F.col("doc_id")) % len(WORD_KINDS) + 1).cast("int"))
+    return placed.where("at % 3 <> 2").select(
+        "doc_id", kind.alias("entity_type"), F.col("start").cast("int").alias("start"), end.cast("int").alias("end")
+    )
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     return said.select(

@@ -74,25 +74,26 @@ def count_column(category: str) -> str:
     return f"n_{category}"
 
 
-def scrubbed(source: str, text: str = "text") -> str:
+def scrubbed(source: str, text: str = "text", rules=RULES) -> str:
     """Common table expressions ending in ``done``.
 
     ``source`` is a query; ``done`` has its columns, ``t`` (scrubbed, spelled),
     ``scrubbed``, one count per category, ``redaction_count`` and ``cats``.
     """
-    zeros = ", ".join(f"0 AS {count_column(c)}" for c in CATEGORIES)
+    categories = [*CATEGORIES, *dict.fromkeys(r.category for r in rules if r.category not in CATEGORIES)]
+    zeros = ", ".join(f"0 AS {count_column(c)}" for c in categories)
     steps = [f"src AS ({source})", f"s0 AS (SELECT *, {spelled(text)} AS t, {zeros} FROM src)"]
     at = 0
     for _ in range(PASSES):
-        for r in RULES:
+        for r in rules:
             n = count_column(r.category)
             steps.append(
                 f"s{at + 1} AS (SELECT * REPLACE ({replaced('t', r)} AS t, "
                 f"{n} + len(regexp_extract_all(t, {pattern(r.pattern)})) AS {n}) FROM s{at})"
             )
             at += 1
-    total = " + ".join(count_column(c) for c in CATEGORIES)
-    cats = ", ".join(f"CASE WHEN {count_column(c)} > 0 THEN '{c}' END" for c in CATEGORIES)
+    total = " + ".join(count_column(c) for c in categories)
+    cats = ", ".join(f"CASE WHEN {count_column(c)} > 0 THEN '{c}' END" for c in categories)
     steps.append(
         f"done AS (SELECT *, {restored('t')} AS scrubbed, CAST({total} AS BIGINT) AS redaction_count, "
         f"concat_ws(',', {cats}) AS cats FROM s{at})"
@@ -208,6 +209,40 @@ spanned AS (SELECT d.*, coalesce(p.span_count, 0) AS span_count,
   FROM {relation} d LEFT JOIN pieces p ON d.{id_col} = p.{id_col})"""
 
 
+# each word of the documents with its place, and the span on it
+WORD_SPANS = f"""words AS (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM documents),
+near AS (
+  SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY k) AS following, k % 3 = 0 AS reaching,
+    k % 3 = 1 AND length(word) > 0 AS reached FROM words),
+spans AS (
+  SELECT *, [{", ".join(f"'{k}'" for k in inputs.WORD_KINDS)}][(k + doc_id) % {len(inputs.WORD_KINDS)} + 1] AS entity_type,
+    reaching AND coalesce(length(following), 0) > 0 AS overlapping
+  FROM near WHERE (reaching AND (length(word) > 0 OR coalesce(length(following), 0) > 0)) OR reached)"""
+
+
+def overlapping_spans() -> str:
+    """Documents put together from words and tokens; a token that a span reaches into loses as many characters."""
+    tokens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPAN_TOKENS.items())
+    order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATEGORIES))
+    return f"""WITH {WORD_SPANS},
+named AS (SELECT *, {entity_category()} AS category FROM spans),
+pieces AS (
+  SELECT n.doc_id, n.k, s.category, s.overlapping,
+    CASE WHEN s.category IS NULL THEN n.word
+      WHEN n.reached THEN substr(CASE s.category {tokens} END, 1 + least(length(n.word), {inputs.REACH}))
+      ELSE CASE s.category {tokens} END END
+    || CASE WHEN n.following IS NULL OR s.overlapping THEN '' ELSE ' ' END AS piece
+  FROM near n LEFT JOIN named s ON n.doc_id = s.doc_id AND n.k = s.k),
+built AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY k) AS span_text, count(category) AS span_count,
+    list_sort(list(DISTINCT CASE category {order} END) FILTER (category IS NOT NULL)) AS ordinals,
+    count(*) FILTER (overlapping) AS overlap_count
+  FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, span_text, span_count, {ordinals_as_text("coalesce(ordinals, [])")} AS span_categories, overlap_count
+FROM documents d LEFT JOIN built USING (doc_id)"""
+
+
 def ordinals_as_text(ordinals: str) -> str:
     names = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
     return f"array_to_string(list_transform({ordinals}, lambda i: {names}[i + 1]), ',')"
@@ -238,8 +273,8 @@ def mentions(text: str, phrases: list[str]) -> str:
 
 def error_text(kind: str, status: str, body: str) -> str:
     return (
-        f"CASE {kind} WHEN 'not_configured' THEN '{NOT_CONFIGURED_TEXT}' WHEN 'http' THEN 'http error: ' || {body} "
-        f"WHEN 'api' THEN concat('api error (', {status}, '): ', {body}) WHEN 'empty' THEN '{EMPTY_REPLY_TEXT}' END"
+        f"CASE {kind} WHEN 'not_configured' THEN '{NOT_CONFIGURED_TEXT}' WHEN 'http' THEN 'http error: ' || coalesce({body}, '') "
+        f"WHEN 'api' THEN concat('api error (', coalesce(CAST({status} AS VARCHAR), 'unknown'), '): ', coalesce({body}, '')) WHEN 'empty' THEN '{EMPTY_REPLY_TEXT}' END"
     )
 
 
@@ -321,9 +356,9 @@ def filled(template: str, **values: str) -> str:
 # --- the queries ------------------------------------------------------------
 
 
-def _flat_scrub(source: str, *keys: str, text: str = "text") -> str:
+def _flat_scrub(source: str, *keys: str, text: str = "text", rules=RULES) -> str:
     return (
-        f"WITH {scrubbed(source, text)} SELECT {', '.join(keys)}, scrubbed, redaction_count, cats AS categories FROM done"
+        f"WITH {scrubbed(source, text, rules)} SELECT {', '.join(keys)}, scrubbed, redaction_count, cats AS categories FROM done"
     )
 
 
@@ -429,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_audit": f"""WITH m AS ({MISSING}) SELECT id, entry_hash, (SELECT count(*) FROM m) AS inserted, 0::BIGINT AS again
             FROM (SELECT id, entry_hash FROM ({EARLY}) UNION ALL SELECT id, entry_hash FROM m)""",
         "scrub_notes": _flat_scrub(NOTES, "note_id"),
+        "scrub_with_own_rules": _flat_scrub(NOTES, "note_id", rules=inputs.WARD_RULES),
         "scrub_documents": _flat_scrub(documents, "doc_id"),
         "scrub_pages": _flat_scrub("SELECT page_id, html FROM pages", "page_id", text="html"),
         "scrub_conversations": scrub_conversations,
@@ -445,6 +481,9 @@ def oracle_sql() -> dict[str, str]:
         "bucket_ages": f"SELECT note_id, {ages} AS text FROM ({NOTES})",
         "map_entity_types": f"""WITH n AS ({NOTES}), found AS ({entities("n", "note_id", "text")})
             SELECT entity_type, {entity_category()} AS category, count(*) AS n FROM found GROUP BY ALL""",
+        "map_all_entity_types": f"""WITH {WORD_SPANS} SELECT entity_type, {entity_category()} AS category, count(*) AS n
+            FROM spans GROUP BY ALL""",
+        "redact_overlapping_spans": overlapping_spans(),
         "redact_spans": f"""WITH n AS ({NOTES}), {span_redaction("n", "note_id", "text")}
             SELECT note_id, span_text, span_count, {ordinals_as_text("span_ordinals")} AS span_categories,
             0::BIGINT AS overlap_count FROM spanned""",

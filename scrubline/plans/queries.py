@@ -16,7 +16,7 @@ from scrubline.functions.canonical import canonical_json
 from scrubline.functions.rules import category_table, order_categories
 from scrubline.operators import access, audit, gate, metrics, scrub, spans
 from scrubline.plans import inputs
-from scrubline.session import scratch_path
+from scrubline.session import scratch_path, written
 from scrubline.sources import audit_tables, requests
 from scrubline.streaming import jobs
 
@@ -129,6 +129,12 @@ def scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_scrub(scrub.scrub(inputs.table(spark, sf_dir, "conversations")), "conv_id", "turn")
 
 
+@query
+def scrub_with_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule and a category added, a rule left out."""
+    return flat_scrub(scrub.scrub(inputs.notes(spark, sf_dir), rules=inputs.WARD_RULES), "note_id")
+
+
 @query
 def category_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub.category_hits(inputs.notes(spark, sf_dir), "note_id")
@@ -179,9 +185,17 @@ def map_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def flat_spans(df: DataFrame) -> DataFrame:
+@query
+def map_all_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = inputs.word_entities(spark, sf_dir)
+    return entities.groupBy(
+        "entity_type", spans.entity_category(F.col("entity_type")).alias("category")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def flat_spans(df: DataFrame, key: str = "note_id") -> DataFrame:
     return df.select(
-        "note_id", "span_text", F.col("span_count").cast("long").alias("span_count"),
+        key, "span_text", F.col("span_count").cast("long").alias("span_count"),
         joined(F.col("span_categories")).alias("span_categories"),
         F.col("overlap_count").cast("long").alias("overlap_count"),
     )
@@ -193,11 +207,19 @@ def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_spans(spans.redact_spans(notes, inputs.entities_in(notes, "note_id", "text"), "note_id"))
 
 
+@query
+def redact_overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of all words of the documents, every other span cut short by the one before it."""
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return flat_spans(spans.redact_spans(documents, inputs.word_entities(spark, sf_dir), "doc_id"), "doc_id")
+
+
 @query
 def scrub_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules run once; entities are looked for in, and written into, the stored result."""
     notes = inputs.notes(spark, sf_dir).select("note_id", "text")
-    entities = inputs.entities_in(scrub.scrub(notes), "note_id", "scrubbed")
-    done = spans.scrub_hybrid(notes, entities, "note_id")
+    scrubbed = written(scrub.scrub(notes).drop("text"), "scrubbed")
+    done = spans.hybrid(scrubbed, inputs.entities_in(scrubbed, "note_id", "scrubbed"), "note_id")
     return done.select(
         "note_id", "scrubbed", F.col("redaction_count").cast("long").alias("redaction_count"),
         joined(F.col("categories")).alias("categories"),
@@ -327,9 +349,8 @@ def gate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gate_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate with entity spans found in the scrubbed prompts."""
-    rows = inputs.requests(spark, sf_dir)
-    found = inputs.entities_in(gate.gate(rows), "request_id", "scrubbed")
-    decided = gate.gate(rows, entities=found)
+    find = lambda scrubbed: inputs.entities_in(scrubbed, "request_id", "scrubbed")
+    decided = gate.gate(inputs.requests(spark, sf_dir), entities=find)
     return decided.select(
         "request_id", "decision", "scrubbed",
         F.col("redaction_count").cast("long").alias("redaction_count"),

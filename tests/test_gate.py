@@ -121,3 +121,11 @@ def test_reply_outcomes(spark):
     df = spark.createDataFrame(rows, "m string, a string, b string, want string")
     for row in df.withColumn("got", reply_outcome(F.col("m"), F.col("a"), F.col("b"))).collect():
         assert row.got == row.want
+
+
+def test_errors_without_a_body_or_status_still_say_what_happened(spark):
+    rows = [request(1, "ok", error="http"), request(2, "ok", error="api", status=502), request(3, "ok", error="api")]
+    decided = gate.gate(fill_skill(spark.createDataFrame(rows, REQUEST_SCHEMA)))
+    found = {r.request_id: r for r in gate.audit_metadata(gate.detail(decided)).collect()}
+    assert [found[k].detail for k in (1, 2, 3)] == ["http error: ", "api error (502): ", "api error (unknown): "]
+    assert '"error":"api error (502): "' in found[2].metadata_json

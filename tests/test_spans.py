@@ -49,3 +49,26 @@ def test_hybrid_without_entities_is_the_rules_alone(spark):
         "SSN [REDACTED-SSN]", 1, ["ssn"],
     )
     assert rows[2].scrubbed is None and rows[2].residual_risk is None
+
+
+def test_many_spans_take_linear_time(spark):
+    """A document of 100,000 spans, all overlapping, and one of as many copies of one span."""
+    import time
+
+    text = "word " * 100_000
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text)], "doc_id int, text string")
+    spans = spark.range(100_000).selectExpr("cast(id as int) as k")
+    entities = (
+        spans.selectExpr("1 as doc_id", "'PERSON' as entity_type", "5 * k as start", "5 * k + 7 as end")
+        .unionByName(spans.selectExpr("2 as doc_id", "'URL' as entity_type", "40 as start", "400 as end"))
+    )
+    started = time.time()
+    found = {r.doc_id: r for r in redact_spans(docs, entities, "doc_id").collect()}
+    assert time.time() - started < 60
+    for doc, kept in ((1, [("PERSON", 5 * k, 5 * k + 7) for k in range(100_000)]), (2, [("URL", 40, 400)] * 100_000)):
+        if doc == 2:  # each copy replaces what the one before wrote, and 345 characters more, as long as there are any
+            kept = kept[:3_000]
+        text_2, n, categories, _ = by_hand(text, kept) if doc == 2 else (None, 99_999, ["name"], 0)
+        assert found[doc].span_categories == categories
+        assert (found[doc].span_text, found[doc].span_count) == (text_2, n) if doc == 2 else found[doc].span_count == n
+    assert found[1].overlap_count == 99_998 and found[3].span_text == text and found[3].span_count == 0
