@@ -30,8 +30,8 @@ POSITION_BITS = 33
 
 
 def utc_day(ts: Column) -> Column:
-    """The UTC day of a time stamp's text, whatever the session's zone."""
-    days = F.floor(F.unix_micros(F.to_timestamp(ts)) / F.lit(86_400_000_000))
+    """The UTC day of a time stamp's text, whatever the session's zone; null where it is none."""
+    days = F.floor(F.unix_micros(F.try_to_timestamp(ts)) / F.lit(86_400_000_000))
     return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
 
 
@@ -112,7 +112,11 @@ def list_latest(df: DataFrame, n: int = LIST_DEFAULT) -> DataFrame:
 
 def audit_panel(df: DataFrame) -> DataFrame:
     """The dashboard's audit table: eight columns of the newest fifty entries."""
-    return verify(_newest(df, LIST_DEFAULT)).select(*PANEL_COLUMNS).orderBy("id")
+    return panel(_newest(df, LIST_DEFAULT))
+
+
+def panel(rows: DataFrame) -> DataFrame:
+    return verify(rows).select(*PANEL_COLUMNS).orderBy("id")
 
 
 def export(df: DataFrame, actor: str, n: int | None = EXPORT_MOST) -> DataFrame:
@@ -180,7 +184,7 @@ def audit_between(df: DataFrame, start: str, end: str) -> DataFrame:
 
     A table partitioned by ``dt`` is pruned to the days concerned.
     """
-    at = F.to_timestamp("ts")
+    at = F.try_to_timestamp(F.col("ts"))
     rows = df.where((at >= F.to_timestamp(F.lit(start))) & (at < F.to_timestamp(F.lit(end))))
     if "dt" in df.columns:
         rows = rows.where((F.col("dt") >= utc_day(F.lit(start))) & (F.col("dt") <= utc_day(F.lit(end))))

@@ -173,6 +173,11 @@ MISSING = f"""SELECT min(id) AS id, entry_hash FROM ({DOUBLED})
   WHERE entry_hash NOT IN (SELECT entry_hash FROM ({EARLY})) GROUP BY entry_hash"""
 ACCESS = f"""SELECT ts, {inputs.HANDLER} AS handler, {inputs.STATUS} AS status, value / 25 AS latency_s,
   {inputs.OUTCOME} AS outcome FROM events"""
+# a row of the last file is late if its hour had closed before that file came, two hours late being in time
+CLOSED = f"""placed AS (
+  SELECT *, last_file AND hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_id % {inputs.LATE_EACH} <> 0) - INTERVAL 2 HOUR AS late,
+    hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR AS closed
+  FROM (SELECT date_trunc('hour', ts) AS hour, event_id % {inputs.LATE_EACH} = 0 AS last_file, {inputs.HANDLER} AS handler, {inputs.STATUS} AS status FROM events))"""
 REPLIES = f"""SELECT conv_id, turn, {inputs.REPLY_MODEL} AS model, {inputs.REPLY_TEXT} AS text,
   {inputs.RETRY_TEXT} AS retry_text FROM conversations WHERE role = 'assistant'"""
 
@@ -455,9 +460,11 @@ def oracle_sql() -> dict[str, str]:
     gate = gated()
     return {
         "read_requests": f"SELECT request_id, ts, actor, role, prompt, skill FROM ({REQUESTS})",
-        "read_scenarios": f"""SELECT source AS title, concat('s', note_id) AS id, source AS label, 'vault-answer' AS skill,
+        "broken_scenarios": f"""SELECT CASE k % 7 WHEN 3 THEN 'no JSON' ELSE 'no scenarios' END AS reason, count(*) AS documents
+            FROM (SELECT DISTINCT note_id // {inputs.SCENARIO_SPAN} AS k FROM ({NOTES})) WHERE k % 7 IN (3, 5) GROUP BY reason""",
+        "read_scenarios": f"""SELECT concat('group ', note_id // {inputs.SCENARIO_SPAN}) AS title, concat('s', note_id) AS id, source AS label, 'vault-answer' AS skill,
             concat({lit(prompts.CONTEXT_PREFIX)}, text, {lit(prompts.QUESTION_SEPARATOR)}, 'What next?') AS prompt,
-            note_id % 5 = 0 AS expect_blocked FROM ({NOTES})""",
+            note_id % 5 = 0 AS expect_blocked FROM ({NOTES}) WHERE note_id // {inputs.SCENARIO_SPAN} % 7 NOT IN (3, 5)""",
         "scan_audit": f"SELECT id, ts, action, canonical AS metadata_json FROM ({TAMPERED}) ORDER BY id",
         "append_audit": f"""SELECT row_number() OVER (ORDER BY ts, entry_hash) AS id, ts, actor, action, outcome, entry_hash
             FROM ({AUDIT})""",
@@ -554,6 +561,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT event_id * 2 AS id FROM events) a LEFT JOIN ({TAMPERED}) t ON a.id = t.id""",
         "list_latest": f"""SELECT id, actor, outcome, canonical AS metadata_json, entry_hash, hash_valid
             FROM ({TAMPERED}) ORDER BY id DESC LIMIT 200""",
+        "list_latest_stored": f"""SELECT id, actor, outcome, canonical AS metadata_json, entry_hash, hash_valid
+            FROM ({TAMPERED}) ORDER BY id DESC LIMIT 200""",
+        "audit_panel_stored": f"""SELECT id, ts, actor, role, action, resource, outcome, hash_valid FROM ({TAMPERED})
+            ORDER BY id DESC LIMIT 50""",
+        "high_water_marks": f"""SELECT ts[1:10] AS day, count(*) AS rows, min(id) AS first_id, max(id) AS last_id
+            FROM (SELECT ts, row_number() OVER (ORDER BY ts, entry_hash) AS id FROM ({AUDIT})) GROUP BY day""",
         "export_audit": f"""SELECT id, ts, action, resource, outcome, entry_hash, 'auditor' AS exported_by
             FROM ({AUDIT}) ORDER BY id DESC LIMIT 500""",
         "export_audit_summary": "SELECT least(count(*), 500) AS count, 'auditor' AS exported_by FROM events",
@@ -574,6 +587,11 @@ def oracle_sql() -> dict[str, str]:
         "appends_by_action_outcome": f"SELECT action, outcome, count(*) AS appends FROM ({AUDIT_EVENTS}) GROUP BY ALL",
         "latency_histogram": _histogram(),
         "latency_p95": _quantile(),
+        "latency_sketches": f"""SELECT outcome, count(*) AS latency_count, count(DISTINCT CAST(ts AS DATE)) AS windows,
+            true AS merged_holds, true AS whole_holds FROM ({ACCESS}) WHERE latency_s IS NOT NULL GROUP BY outcome""",
+        "stream_closed_windows": f"""WITH {CLOSED} SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS window_start, handler,
+            CAST(status AS BIGINT) AS status, count(*) AS events FROM placed WHERE NOT late AND closed GROUP BY ALL""",
+        "stream_late_rows": f"WITH {CLOSED} SELECT handler, count(*) AS rows FROM placed WHERE late GROUP BY ALL",
         "auth_failures": f"""SELECT CAST(status AS BIGINT) AS status, count(*) AS failures FROM ({ACCESS})
             WHERE status IN (401, 403) GROUP BY status""",
         "request_rate": requests_rate,

@@ -54,27 +54,28 @@ def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.read_requests(spark, path).select("request_id", "ts", "actor", "role", "prompt", "skill")
 
 
+def scenario_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of scenario documents, one a file."""
+    path = scratch_path(spark, "scenarios")
+    inputs.scenario_documents(spark, sf_dir).write.partitionBy("k").text(path)
+    return path
+
+
 @query
 def read_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenario documents written from the notes, one to a line, and read back."""
-    rows = inputs.notes(spark, sf_dir)
-    path = scratch_path(spark, "scenarios")
-    scenario = F.struct(
-        F.concat(F.lit("s"), F.col("note_id")).alias("id"),
-        F.col("source").alias("label"),
-        F.lit("vault-answer").alias("skill"),
-        F.col("text").alias("context"),
-        F.lit("What next?").alias("question"),
-        F.when(F.col("note_id") % 5 == 0, F.lit(True)).alias("expect_blocked"),
-    )
-    document = F.to_json(F.struct(F.col("source").alias("title"), F.array(scenario).alias("scenarios")))
-    rows.select(document.alias("value")).write.text(path, lineSep="\n")
-    one_per_line = spark.read.schema(requests.SCENARIO_SCHEMA).json(path)
-    return requests.scenario_rows(one_per_line).select(
+    """Scenario documents written from the notes, over several lines each, and read back."""
+    return requests.read_scenarios(spark, scenario_files(spark, sf_dir)).select(
         "title", "id", "label", "skill", "prompt", "expect_blocked"
     )
 
 
+@query
+def broken_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents were set aside, and why."""
+    broken = requests.broken_scenarios(spark, scenario_files(spark, sf_dir))
+    return broken.groupBy("reason").agg(F.countDistinct("path").alias("documents"))
+
+
 @query
 def scan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_tables.scan_audit(inputs.tampered_audit(spark, sf_dir)).select("id", "ts", "action", "metadata_json")
@@ -94,10 +95,7 @@ def append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after a merge into an early copy of it, run twice."""
     path = scratch_path(spark, "target")
-    dated = inputs.early_audit(spark, sf_dir).select(
-        *audit.AUDIT_COLUMNS, F.to_date(F.to_timestamp("ts")).alias("dt")
-    )
-    dated.write.partitionBy("dt").parquet(path)
+    audit_tables.create_audit(spark, inputs.early_audit(spark, sf_dir), path)
     source = inputs.doubled_audit(spark, sf_dir)
     first = audit_tables.merge_audit(spark, source, path)
     second = audit_tables.merge_audit(spark, source, path)
@@ -432,6 +430,34 @@ def list_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("id", "actor", "outcome", "metadata_json", "entry_hash", "hash_valid")
 
 
+def stored_audit(spark: SparkSession, sf_dir: str) -> str:
+    """The tampered audit table written to storage; its path."""
+    path = scratch_path(spark, "listed")
+    audit_tables.create_audit(spark, inputs.tampered_audit(spark, sf_dir), path)
+    return path
+
+
+@query
+def list_latest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = audit_tables.list_latest_stored(spark, stored_audit(spark, sf_dir), 500)
+    return listed.select("id", "actor", "outcome", "metadata_json", "entry_hash", "hash_valid")
+
+
+@query
+def audit_panel_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_tables.audit_panel_stored(spark, stored_audit(spark, sf_dir))
+
+
+@query
+def high_water_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and the range of ids of each day after two appends, as the ledger has them."""
+    path = scratch_path(spark, "marks")
+    events = inputs.audit_events(inputs.table(spark, sf_dir, "events"))
+    audit_tables.append_audit(spark, events.where(F.col("ts") < inputs.CUTOVER), path)
+    audit_tables.append_audit(spark, events.where(F.col("ts") >= inputs.CUTOVER), path)
+    return audit_tables.marks(spark, path)
+
+
 @query
 def export_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.export(inputs.audit(spark, sf_dir), "auditor")
@@ -535,6 +561,28 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether p95 from merged sketches of days, and from one sketch, has the stated error in rank (twice that at 99 % confidence)."""
+    rows = access_rows(spark, sf_dir)
+    days = metrics.latency_sketches(rows, ["outcome"])
+    merged = metrics.sketch_quantile(days, ["outcome"])
+    whole = metrics.sketch_quantile(metrics.latency_sketches(rows, ["outcome"], "3650 days"), ["outcome"])
+    found = merged.join(whole.select("outcome", F.col("sketch_quantile").alias("whole_quantile")), "outcome")
+    latency, error = F.col("latency_s"), 2 * metrics.sketch_error()
+
+    def holds(name: str) -> Column:
+        below, upto = F.count_if(latency < F.col(name)), F.count_if(latency <= F.col(name))
+        total = F.count(F.lit(1))
+        return (below / total <= 0.95 + error) & (upto / total >= 0.95 - error)
+
+    return (
+        rows.join(found, "outcome")
+        .groupBy("outcome", "latency_count", "windows")
+        .agg(holds("sketch_quantile").alias("merged_holds"), holds("whole_quantile").alias("whole_holds"))
+    )
+
+
 @query
 def auth_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.auth_failures(access_rows(spark, sf_dir))
@@ -728,6 +776,34 @@ def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("status", F.col("status").cast("long"))
 
 
+def closed_windows(spark: SparkSession, sf_dir: str) -> str:
+    """The access log as files in order of time with a late one at the end, run through the window job; where it writes."""
+    path = scratch_path(spark, "windows")
+    log = inputs.table(spark, sf_dir, "events").withColumn("late", F.col("event_id") % inputs.LATE_EACH == 0)
+    for part in range(inputs.LATE_PARTS):
+        week = F.floor((F.dayofmonth("ts") - 1) / 7) == part
+        log.where(~F.col("late") & week).drop("late").coalesce(1).write.mode("append").parquet(path + "/in")
+    log.where("late").drop("late").coalesce(1).write.mode("append").parquet(path + "/in")
+    arriving = spark.readStream.schema(inputs.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(path + "/in")
+    jobs.start_closed_windows(
+        inputs.access_log(arriving), path, path + "/state", ["handler", "status"], "1 hour", delay="2 hours"
+    ).awaitTermination()
+    return path
+
+
+@query
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = spark.read.parquet(closed_windows(spark, sf_dir) + "/closed")
+    return closed.select(stamp("window_start"), "handler", F.col("status").cast("long").alias("status"), "events")
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that came after their window had closed."""
+    late = spark.read.parquet(closed_windows(spark, sf_dir) + "/late")
+    return late.groupBy("handler").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def stream_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     access_stream = inputs.access_log(table_stream(spark, sf_dir, "events"))

@@ -43,6 +43,26 @@ def scenario_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+BROKEN = "__broken"
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of any number of lines, one or a list of them a file, with what could not be read and where it lies."""
+    read = spark.read.schema(f"{SCENARIO_SCHEMA}, {BROKEN} string").option("multiLine", True).option("mode", "PERMISSIVE")
+    rows = read.option("columnNameOfCorruptRecord", BROKEN).option("recursiveFileLookup", True).json(path)
+    return rows.select("title", "scenarios", BROKEN, F.col("_metadata.file_path").alias("path"))
+
+
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """The scenarios of JSON documents that may run over several lines."""
-    return scenario_rows(spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=True))
+    """The scenarios of JSON documents that may run over several lines; see also :func:`broken_scenarios`."""
+    return scenario_rows(_documents(spark, path).where(F.col(BROKEN).isNull()))
+
+
+def broken_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`read_scenarios` leaves out: ``path``, ``reason`` and the ``text`` where that is no JSON of the schema.
+
+    The reason is ``no JSON`` or ``no scenarios``; a document with an empty list of scenarios is neither.
+    """
+    documents = _documents(spark, path)
+    reason = F.when(F.col(BROKEN).isNotNull(), F.lit("no JSON")).when(F.col("scenarios").isNull(), F.lit("no scenarios"))
+    return documents.select("path", reason.alias("reason"), F.col(BROKEN).alias("text")).where("reason IS NOT NULL")

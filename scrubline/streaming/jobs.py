@@ -32,12 +32,13 @@ def stream_gate(requests: DataFrame, **options) -> DataFrame:
 def start_audit_append(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream of audit events to a table, each entry once and none lost, however late it comes.
 
-    Copies, within a batch or in batches replayed after a failure, are found by their hash in
+    The table's ledger knows the last batch of each stream, named by its checkpoint: a batch replayed after its commit is skipped, one that failed
+    before it is written anew.  Copies in other batches are found by their hash in
     the days of the table they belong to.  No state is kept.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        append_new(batch.sparkSession, batch, path, writer=checkpoint, batch=number)
 
     return (
         events.writeStream.foreachBatch(write)
@@ -54,6 +55,53 @@ def stream_rate(
     return rate(events.withWatermark("ts", delay), by, every, slide)
 
 
+def start_closed_windows(
+    events: DataFrame, path: str, checkpoint: str, by: list[str], every: str, *, delay: str = "10 minutes", ts_col: str = "ts", **trigger
+) -> StreamingQuery:
+    """Counts of windows that have closed, each written once, and the rows that came too late for theirs.
+
+    A window closes when the highest time seen lies ``delay`` behind its end.  Below ``path``, ``closed`` gets the counts of windows
+    that a batch closed and ``late`` every row whose window had closed before its batch, instead of losing it.  ``open`` holds the counts
+    of windows still open, which is all the state there is: a row a window and group.  Each batch writes folders of its own
+    number, so a replayed batch replaces what it wrote before.  Rows without a time belong to no window and are late.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, f"batch={number}"
+        before = spark.read.parquet(f"{path}/open/batch={number - 1}") if number else None
+        passed = before.agg(F.max("watermark").alias("at")).first()["at"] if number else None
+        batch = batch.persist()
+        try:
+            end = F.col("__window.end")
+            # a row without a time has no window; the window function would drop it
+            start = F.window(F.coalesce(F.col(ts_col), F.lit("1970-01-01").cast("timestamp")), every)
+            placed = batch.withColumn("__window", start)
+            on_time = F.col(ts_col).isNotNull() & ((end > F.lit(passed)) if passed is not None else F.lit(True))
+            placed.where(~on_time).drop("__window").write.mode("overwrite").parquet(f"{path}/late/{folder}")
+            keys = [F.col("__window.start").alias("window_start"), end.alias("window_end"), *by]
+            counts = placed.where(on_time).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"))
+            # a row without a window carries the watermark from batch to batch
+            highest = batch.agg((F.max(ts_col) - F.expr(f"INTERVAL {delay}")).alias("at")).first()["at"]
+            reached = max((at for at in (passed, highest) if at is not None), default=None)
+            if before is not None:
+                known = before.where("window_start IS NOT NULL").select(*counts.columns)
+                counts = counts.unionByName(known).groupBy("window_start", "window_end", *by).agg(F.sum("events").alias("events"))
+            closes = (F.col("window_end") <= F.lit(reached)) if reached is not None else F.lit(False)
+            counts.where(closes).write.mode("overwrite").parquet(f"{path}/closed/{folder}")
+            mark = spark.range(1).select(F.lit(reached).cast("timestamp").alias("watermark"))
+            stays = counts.where(~closes).withColumn("watermark", F.lit(None).cast("timestamp"))
+            stays.unionByName(mark, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/open/{folder}")
+        finally:
+            batch.unpersist()
+
+    return (
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def stream_histogram(
     access: DataFrame, by: list[str], every: str, *, delay: str = "10 minutes", seconds_col: str = "latency_s"
 ) -> DataFrame:
