@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A value for every task, as bytes that ``pickle.loads`` reads.
+
+    A broadcast of an object of this package is written by reference, and workers need not have the package; these bytes hold its class
+    too where the package is registered to go by value.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
     """Ids as long and whole texts as UTF-8 bytes; a null text is an empty one."""
     return docs.select(

@@ -8,6 +8,7 @@ bounded sample of labelled rows; labelling runs where the texts are, many window
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scrubline.llm.common import by_bytes, stored
+from scrubline.llm.common import by_bytes, shipped, stored
 
 WINDOW = 64
 HIDDEN = 12
@@ -259,12 +260,12 @@ def predict(
     """
     named = {pred_col.lower(), score_col.lower()}
     kept = [c for c in docs.columns if c.lower() not in named]
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = shipped(docs.sparkSession, net)
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)
         for batch, texts in by_bytes(batches, "__body"):
             named = [model is not None and LETTER.search(text.decode("utf-8", "replace")) is not None for text in texts]
             chances = pooled(model, [t if ok else b"" for t, ok in zip(texts, named)]) if any(named) else None

@@ -11,6 +11,7 @@ scores cover every whole text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import bodies, by_bytes, stored
+from scrubline.llm.common import bodies, by_bytes, shipped, stored
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -227,10 +228,10 @@ def score(
 
     Without a model every score is 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = pickle.loads(shared.value)
         for batch, texts in by_bytes(batches):
             scores = fitted.score(features(texts)) if fitted else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
