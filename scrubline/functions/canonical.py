@@ -93,6 +93,10 @@ def _canonical_exact(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text, na_action="ignore").astype(object)
 
 
+# Marked so that conditions on the result, the optimizer's own among them, do not run the function once more.
+_canonical_once = _canonical_exact.asNondeterministic()
+
+
 def canonical_json(text: Column) -> Column:
     """Canonical form of a JSON text column; null where it is not valid JSON."""
     # The parser stops after one value.  Whatever may follow that value breaks the
@@ -103,7 +107,7 @@ def canonical_json(text: Column) -> Column:
     native = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
     openings = F.length(text) - F.length(F.translate(text, "[{", ""))
     rare = text.rlike(REFORMATTED) | ~whole | (openings > DEEPEST_NESTING)
-    return F.coalesce(_canonical_exact(F.when(rare, text)), F.when(~rare, native))
+    return F.coalesce(_canonical_once(F.when(rare, text)), F.when(~rare, native))
 
 
 def _fields(names: list[str]) -> Column:

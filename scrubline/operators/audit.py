@@ -159,6 +159,43 @@ def missing_entries(src: DataFrame, dst: DataFrame) -> DataFrame:
     )
 
 
+# bits of the filter for each hash in it, a power of two: one in sixteen hashes that are not in it passes all the same
+BITS_EACH = 16
+# with more hashes than this there is no filter: it is sent to every task, two bytes a hash
+MOST_FILTERED = 16_000_000
+
+
+def hash_filter(hashes: DataFrame, n: int) -> DataFrame:
+    """(bucket, bits): a table of bits for ``n`` values of ``entry_hash``, as long as their number calls for."""
+    at = _filter_place(n)
+    found = hashes.where(F.col("entry_hash").isNotNull()).select(
+        F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at")
+    )
+    return found.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def _filter_place(n: int) -> Column:
+    size = BITS_EACH << max(11, (max(n, 1) - 1).bit_length())
+    return F.pmod(F.xxhash64("entry_hash"), F.lit(size).cast("long"))
+
+
+def maybe_present(df: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+    """The rows whose hash may be one of ``hashes``: all that are, and few others.
+
+    ``n`` is how many hashes there are, counted beforehand; the filter takes two bytes for each.  It is looked at where the rows are read,
+    so what does not pass is not shuffled.  Beyond ``MOST_FILTERED`` all rows pass.
+    """
+    if n > MOST_FILTERED:
+        return df
+    at = _filter_place(n)
+    bits = hash_filter(hashes, n).select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    position = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("(__byte >> cast(__position % 8 as int)) & 1") == 1
+    looked_up = df.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "__bucket")
+    return looked_up.withColumn("__byte", byte).withColumn("__position", position).where(hit).select(*df.columns)
+
+
 def id_conflicts(src: DataFrame, dst: DataFrame) -> DataFrame:
     """Same id, different hash: rows that would break a merge part-way."""
     left = src.select("id", F.col("entry_hash").alias("source_hash"))

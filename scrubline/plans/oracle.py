@@ -470,6 +470,8 @@ def oracle_sql() -> dict[str, str]:
             FROM ({AUDIT})""",
         "merge_audit": f"""WITH m AS ({MISSING}) SELECT id, entry_hash, (SELECT count(*) FROM m) AS inserted, 0::BIGINT AS again
             FROM (SELECT id, entry_hash FROM ({EARLY}) UNION ALL SELECT id, entry_hash FROM m)""",
+        "prefiltered_merge": """SELECT count(*) AS target_rows, count(*) FILTER (event_type = 'signup') AS shared, 0::BIGINT AS lost,
+            true AS few_others FROM events""",
         "scrub_notes": _flat_scrub(NOTES, "note_id"),
         "scrub_with_own_rules": _flat_scrub(NOTES, "note_id", rules=inputs.WARD_RULES),
         "scrub_documents": _flat_scrub(documents, "doc_id"),

@@ -104,6 +104,22 @@ def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def prefiltered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a merge of one action into the whole table shuffles little more of the table than both share."""
+    path = scratch_path(spark, "merged")
+    audit_tables.create_audit(spark, inputs.audit(spark, sf_dir), path)
+    source = written(inputs.audit(spark, sf_dir).where("action = 'signup'").select(*audit.AUDIT_COLUMNS), "part")
+    target = audit_tables.read_audit(spark, path)
+    near = audit_tables.near_source(source, target)
+    total, shared, passed = target.count(), source.count(), near.count()
+    lost = source.select("entry_hash").exceptAll(near).count()
+    return spark.range(1).select(
+        F.lit(total).cast("long").alias("target_rows"), F.lit(shared).cast("long").alias("shared"), F.lit(lost).cast("long").alias("lost"),
+        F.lit(passed - shared <= (total - shared) / 8).alias("few_others"),
+    )
+
+
 # --- de-identification ------------------------------------------------------
 
 

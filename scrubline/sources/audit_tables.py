@@ -22,13 +22,14 @@ from scrubline.operators.audit import (
     LIST_MOST,
     id_conflicts,
     list_latest,
+    maybe_present,
     missing_entries,
     panel,
     source_conflicts,
     utc_day,
     with_entry_hash,
 )
-from scrubline.session import scratch_path
+from scrubline.session import scratch_path, written
 from scrubline.sources.ledger import Ledger, advanced, day_marks, in_days
 
 
@@ -171,14 +172,7 @@ def append_new(
     unhashed = staged.where("entry_hash IS NULL").select(F.lit(None).cast("long").alias("id"), *columns, "entry_hash")
     aside = _set_aside(spark, unhashed, path)
     hashed = staged.where("entry_hash IS NOT NULL").dropDuplicates(["entry_hash"])
-    days = [row["dt"] for row in staged.select("dt").distinct().limit(MOST_DAYS + 1).collect()]
-    known = [day for day in days if day is not None]
-    if len(days) > MOST_DAYS:
-        span = staged.agg(F.min("dt").alias("first"), F.max("dt").alias("last")).first()
-        near = F.col("dt").between(span["first"], span["last"])
-    else:
-        near = F.col("dt").isin(known) if known else F.lit(False)
-    present = _committed(spark, path, state["commit"]).where(near | F.col("dt").isNull()).select("entry_hash")
+    present = _committed(spark, path, state["commit"]).where(days_of(staged)).select("entry_hash")
     fresh = hashed.join(present, "entry_hash", "left_anti").drop("dt")
     _write(spark, assign_ids(fresh, ["ts", "entry_hash"], state["max_id"]), path, number)
     _commit(spark, ledger, state, number, writer, batch)
@@ -233,6 +227,37 @@ def audit_panel_stored(spark: SparkSession, path: str) -> DataFrame:
     return panel(newest_rows(spark, path, LIST_DEFAULT))
 
 
+def days_of(rows: DataFrame) -> Column:
+    """Whether ``dt`` may be a day of the entries of a stored table: one of them, or, if they are many, within their span."""
+    each = rows.select(utc_day(F.col("ts")).alias("dt"))
+    days = [row["dt"] for row in each.distinct().limit(MOST_DAYS + 1).collect()]
+    known = [day for day in days if day is not None]
+    if len(days) > MOST_DAYS:
+        span = each.agg(F.min("dt").alias("first"), F.max("dt").alias("last")).first()
+        near = F.col("dt").between(span["first"], span["last"])
+    else:
+        near = F.col("dt").isin(known) if known else F.lit(False)
+    return near | F.col("dt").isNull()
+
+
+def near_source(src: DataFrame, target: DataFrame) -> DataFrame:
+    """The hashes of a table that a stored source may share: on its days, and past a filter of its hashes.
+
+    Equal hashes mean equal times, so other days need not be read.  What is left is little more than what both hold, and only
+    that is shuffled to meet the source.
+    """
+    return maybe_present(target.where(days_of(src)).select("entry_hash"), src, src.count())
+
+
+def _in_id_range(target: DataFrame, state: dict, rows: DataFrame) -> DataFrame:
+    """The rows of the days that may hold an id between the lowest and the highest of ``rows``, by the ledger."""
+    span = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if span["low"] is None:
+        return target.limit(0)
+    days = [day for day, (_, first, last) in state["days"].items() if first <= span["high"] and last >= span["low"]]
+    return target.where(in_days(days) & F.col("id").between(span["low"], span["high"]))
+
+
 class IdConflict(RuntimeError):
     """Source and target use one id for different entries."""
 
@@ -248,10 +273,9 @@ def merge_audit(spark: SparkSession, src: DataFrame, path: str) -> int:
     ledger, writer = Ledger(spark, path), uuid.uuid4().hex
     state = ledger.last()
     target = _committed(spark, path, state["commit"])
-    staged_path = scratch_path(spark, "merge")
-    missing_entries(src.select(*AUDIT_COLUMNS), target).write.parquet(staged_path)
-    staged = spark.read.schema(AUDIT_SCHEMA).parquet(staged_path)
-    if not source_conflicts(src).isEmpty() or not id_conflicts(staged, target).isEmpty():
+    src = written(src.select(*AUDIT_COLUMNS), "merge-source")
+    staged = written(missing_entries(src, near_source(src, target)), "merge")
+    if not source_conflicts(src).isEmpty() or not id_conflicts(staged, _in_id_range(target, state, staged)).isEmpty():
         raise IdConflict("the same id stands for different entries; nothing was written")
     ledger.claim(state["commit"] + 1, writer)
     _set_aside(spark, src.where("entry_hash IS NULL"), path)

@@ -214,3 +214,34 @@ def test_scenarios_of_several_lines_and_broken_ones(spark, tmp_path):
     broken = {r["path"].split("/")[-1]: (r["reason"], r["text"]) for r in broken_scenarios(spark, str(tmp_path)).collect()}
     assert {k: v[0] for k, v in broken.items()} == {"cut.json": "no JSON", "other.json": "no scenarios", "kind.json": "no JSON"}
     assert broken["cut.json"][1].strip() == files["cut"].strip()
+
+
+def test_a_merge_shuffles_little_of_the_table(spark, table):
+    target = audit_tables.read_audit(spark, table)
+    fresh = audit.with_entry_hash(events(spark, 9, 3, "other")).withColumn("id", F.lit(1000) + F.col("actor").substr(6, 1).cast("long"))
+    source = target.where("id % 20 = 0").drop("dt").unionByName(fresh).select(*audit.AUDIT_COLUMNS)
+    stored = audit_tables.written(source, "source")
+    near = audit_tables.near_source(stored, target)
+    passed = {r["entry_hash"] for r in near.collect()}
+    shared = {r["entry_hash"] for r in target.where("id % 20 = 0").collect()}
+    assert shared <= passed and len(passed) < 40
+    plan = plan_of(audit.missing_entries(stored, near))
+    assert "BroadcastHashJoin" in plan and "bitmap_construct_agg" in plan
+    assert audit_tables.merge_audit(spark, source, table) == 3
+    assert audit_tables.merge_audit(spark, source, table) == 0
+    assert audit_tables.high_water(spark, table) == {"max_id": 1002, "next_id": 1003, "rows": 203}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000])
+def test_the_filter_passes_all_that_are_in_it(spark, n):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("entry_hash"))
+    hashes = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("entry_hash"))
+    passed = audit.maybe_present(rows, hashes, n)
+    assert passed.join(hashes, "entry_hash", "left_semi").count() == n
+    assert passed.count() - n <= 20_000 / 8
+
+
+def test_hashes_are_computed_once_a_row(spark):
+    rows = audit.with_entry_hash(events(spark, 1, 3)).withColumn("id", F.lit(1))
+    plan = plan_of(audit.missing_entries(rows, rows.select("entry_hash")))
+    assert plan.count("ArrowEvalPython") <= 2
