@@ -286,20 +286,22 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     """(a, b): keys of different groups of a block that may be alike, of members (key, block, own, shingles).
 
     Of two sets alike by the rule, each holds a shingle of the other among its own rarest; how many of these are looked at
-    follows from the size of the set, so no pair is lost.
+    follows from the size of the set, so no pair is lost.  At the first shingle that two sets share, in order of rarity, what lies behind it
+    in the smaller rest is all they can share besides; a pair for which that is too little is not made.
     """
     each = members.select("key", "block", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     spread = each.groupBy("block", "s").agg(F.count(F.lit(1)).alias("times"), F.min("own").alias("low"), F.max("own").alias("high"))
     order = Window.partitionBy("key").orderBy("times", "s")
     looked_at = (
         each.join(spread, ["block", "s"]).withColumn("place", F.row_number().over(order))
-        .where(f"place <= n - ceil({LEAST_TENTHS} * n / 10) + 1 AND low < high").select("block", "s", "key", "own", "n")
+        .where(f"place <= n - ceil({LEAST_TENTHS} * n / 10) + 1 AND low < high").select("block", "s", "key", "own", "n", "place")
     )
     looked_at = stored(looked_at, "rare-shingles")
     one, two = looked_at.alias("one"), looked_at.alias("two")
     near = (
         "one.block = two.block AND one.s = two.s AND one.own < two.own "
-        f"AND 10 * one.n >= {LEAST_TENTHS} * two.n AND 10 * two.n >= {LEAST_TENTHS} * one.n"
+        f"AND 10 * one.n >= {LEAST_TENTHS} * two.n AND 10 * two.n >= {LEAST_TENTHS} * one.n "
+        f"AND {10 + LEAST_TENTHS} * (1 + least(one.n - one.place, two.n - two.place)) >= {LEAST_TENTHS} * (one.n + two.n)"
     )
     return one.join(two, F.expr(near)).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
 
