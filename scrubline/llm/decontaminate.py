@@ -6,6 +6,9 @@ substitutions still hold a whole seed.  Seeds of the benchmark and of the docume
 around each hit the aligned tokens are compared: an overlap counts if some window of thirteen tokens agrees in
 eighty percent or more of its places.
 
+Items of fewer than thirteen tokens have masks of their own: their places fall into five blocks, and a mask ignores as many blocks as
+the item may have substitutions, so one of the masks meets none of them.  The whole item is compared.
+
 Most seeds of the documents match nothing.  A filter of fixed size holds the benchmark's seeds, and what it
 lets through is joined, so a full filter costs time but never a hit.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +102,126 @@ def _rows(owners: pa.Array, texts: list[bytes], pad: int, wanted) -> pa.RecordBa
 
 
 def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(owner, seed, size, frame) of all seeds of the items."""
+    """(owner, seed, size, frame) of all seeds of the items that have a window of tokens or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_bytes(batches):
             yield _rows(batch.column("owner"), texts, 1, lambda found: np.ones(len(found), bool))
 
-    return bodies(benchmark, id_col, text_col, "owner").mapInArrow(run, HIT_SCHEMA).distinct()
+    found = bodies(benchmark, id_col, text_col, "owner").mapInArrow(run, HIT_SCHEMA)
+    return found.where(F.col("size") == WINDOW_TOKENS).distinct()
+
+
+# --- items shorter than a window --------------------------------------------
+
+# an item of fewer tokens counts only where it is the whole document
+LEAST_PASSAGE = 5
+BLOCKS = 5
+SHORT_SCHEMA = "owner long, n int, seed long, frame binary"
+
+
+def needed(n: int) -> int:
+    """How many of ``n`` places have to agree."""
+    return math.ceil(AGREEING * n)
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over ``n`` places of which one meets none of as many substitutions as are allowed."""
+    if n == needed(n):
+        return [tuple(range(n))]
+    blocks = [set(b.tolist()) for b in np.array_split(np.arange(n), min(n, BLOCKS))]
+    return [tuple(sorted(set(range(n)).difference(*gone))) for gone in combinations(blocks, n - needed(n))]
+
+
+def _short_rows(owners: pa.Array, texts: list[bytes], lengths: list[int], wanted, whole: bool) -> pa.RecordBatch:
+    """Seeds of every stretch of so many tokens that ``wanted`` accepts, with the stretch; with ``whole``, of whole texts only."""
+    each = [token_hashes(text) for text in texts]
+    sizes = np.array([len(one) for one in each], np.int64)
+    tokens = np.concatenate([*each, np.zeros(WINDOW_TOKENS, np.uint64)])
+    ends = np.cumsum(sizes)
+    owner_of = np.repeat(np.arange(len(each)), sizes)
+    narrow = (tokens >> np.uint64(32)).astype("<u4")
+    found: list[tuple] = []
+    for n in lengths:
+        at = np.arange(len(owner_of))
+        inside = at + n <= ends[owner_of]
+        if whole or n < LEAST_PASSAGE:
+            inside &= sizes[owner_of] == n
+            inside &= at == (ends - sizes)[owner_of]
+        at = at[inside]
+        for number, mask in enumerate(short_masks(n)):
+            seeds = np.full(len(at), n * 64 + number, np.uint64)
+            for place in mask:
+                seeds = (seeds ^ tokens[at + place]) * _ODD[place % SPAN]
+                seeds ^= seeds >> np.uint64(32)
+            keep = np.flatnonzero(wanted(seeds))
+            frames = narrow[at[keep][:, None] + np.arange(n)[None, :]]
+            found.append((owner_of[at[keep]], np.full(len(keep), n, np.int32), seeds[keep], [f.tobytes() for f in frames]))
+    owner, n, seed, frame = zip(*found) if found else ((), (), (), ())
+    empty = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            owners.take(pa.array(np.concatenate([empty, *owner]).astype(np.int64))), pa.array(np.concatenate([empty, *n]).astype(np.int32)),
+            pa.array(np.concatenate([empty.astype(np.uint64), *seed]).view(np.int64)), pa.array([f for part in frame for f in part], pa.binary()),
+        ],
+        ["owner", "n", "seed", "frame"],
+    )
+
+
+def short_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, agreeing, hits) for items of one to twelve tokens, of (owner, body) on both sides.
+
+    Equal stretches of documents and equal items meet once, so a phrase that many of them hold is compared once.
+    """
+    spark = docs.sparkSession
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches):
+            yield _short_rows(batch.column("owner"), texts, list(range(1, WINDOW_TOKENS)), lambda seeds: np.ones(len(seeds), bool), True)
+
+    items = stored(benchmark.mapInArrow(of_items, SHORT_SCHEMA).distinct(), "short-items")
+    lengths = sorted(row["n"] for row in items.select("n").distinct().collect())  # twelve at most
+    if not lengths:
+        return spark.createDataFrame([], "doc_id long, item_id long, agreeing int, hits long")
+    shared = spark.sparkContext.broadcast(seed_filter(items))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = passing(shared.value)
+        for batch, texts in by_bytes(batches):
+            yield _short_rows(batch.column("owner"), texts, lengths, wanted, False)
+
+    hits = stored(docs.mapInArrow(find, SHORT_SCHEMA).distinct(), "short-hits")
+    frames = hits.select("n", "seed", "frame").distinct().join(
+        items.select("n", "seed", F.col("frame").alias("item_frame")).distinct(), ["n", "seed"]
+    )
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*(batch.column(c).to_pylist() for c in ("n", "frame", "item_frame")))
+            agreeing = [(n, int((np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).sum())) for n, x, y in pairs]
+            keep = pa.array([k >= needed(n) for n, k in agreeing], pa.bool_())
+            columns = [batch.column("n"), batch.column("frame"), batch.column("item_frame"), pa.array([k for _, k in agreeing], pa.int32())]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["n", "frame", "item_frame", "agreeing"])
+
+    alike = frames.select("n", "frame", "item_frame").distinct().mapInArrow(confirm, "n int, frame binary, item_frame binary, agreeing int")
+    return (
+        hits.select(F.col("owner").alias("doc_id"), "n", "frame").distinct().join(alike, ["n", "frame"])
+        .join(items.select(F.col("owner").alias("item_id"), "n", F.col("frame").alias("item_frame")).distinct(), ["n", "item_frame"])
+        .groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.count(F.lit(1)).alias("hits"))
+    )
+
+
+# --- all items --------------------------------------------------------------
+
+
+def passing(bits: np.ndarray):
+    """Whether the filter lets seeds through."""
+
+    def wanted(found: np.ndarray) -> np.ndarray:
+        slot = found >> np.uint64(64 - FILTER_BITS)
+        return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+    return wanted
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -126,20 +243,16 @@ def overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, agreeing, hits): a row per document and item that overlap.
 
-    ``agreeing`` is the largest number of equal tokens in a window of thirteen (fewer for shorter
-    items), ``hits`` the number of confirmed seeds.  Items of fewer than nine tokens hold no seed and give no rows, as do
-    null and empty texts.  Repeated rows count as one; rows without an id share the null id.
+    ``agreeing`` is the largest number of equal tokens in a window of thirteen, or in the whole of a shorter
+    item, ``hits`` the number of confirmed seeds, for shorter items of different stretches.  Items of fewer than five tokens
+    count only where they are the whole document.  Texts without tokens, null and empty ones among them, give no
+    rows.  Repeated rows count as one; rows without an id share the null id.
     """
     seeds = stored(benchmark_seeds(benchmark, item_col, item_text_col), "benchmark-seeds")
     shared = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-
-        def wanted(found: np.ndarray) -> np.ndarray:
-            slot = found >> np.uint64(64 - FILTER_BITS)
-            return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
+        wanted = passing(shared.value)
         for batch, texts in by_bytes(batches):
             rows = _rows(batch.column("owner"), texts, 0, wanted)
             if len(rows):
@@ -169,4 +282,5 @@ def overlaps(
     confirmed = pairs.select("doc_id", "item_id", "size", "frame", "item_frame").mapInArrow(
         confirm, "doc_id long, item_id long, agreeing int"
     )
-    return confirmed.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.count(F.lit(1)).alias("hits"))
+    long = confirmed.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.count(F.lit(1)).alias("hits"))
+    return long.unionByName(short_overlaps(bodies(docs, id_col, text_col, "owner"), bodies(benchmark, item_col, item_text_col, "owner")))

@@ -300,6 +300,60 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.overlaps(none, items).count() == 0 and decontaminate.overlaps(odd, items.where("item_id < 0")).count() == 0
 
 
+def overlaps_by_force(docs, items):
+    """All alignments of all documents and items: (doc_id, item_id) and the most that agree."""
+    found = {}
+    for doc_id, text in docs:
+        tokens = decontaminate.token_hashes(body(text))
+        for item_id, item in items:
+            own = decontaminate.token_hashes(body(item))
+            n = min(len(own), decontaminate.WINDOW_TOKENS)
+            if not n or len(tokens) < n or (n < decontaminate.LEAST_PASSAGE and len(tokens) != n):
+                continue
+            equal = tokens[:, None] == own[None, :]
+            for shift in range(-len(own) + n, len(tokens) - n + 1):
+                line = np.diagonal(equal, -shift)
+                if len(line) < n:
+                    continue
+                sums = np.concatenate([[0], np.cumsum(line)])
+                most = int((sums[n:] - sums[:-n]).max())
+                if most >= decontaminate.needed(n):
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), 0), most)
+    return found
+
+
+def test_decontamination_equals_all_windows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 8000").select("doc_id", "text")
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = [tuple(r) for r in docs.collect()]
+    # items of every length, cut out of documents, some tokens changed
+    rng = np.random.default_rng(3)
+    for n in range(1, 16):
+        for k in range(4):
+            words = next(w for w in (str(rows[i][1]).split() for i in rng.permutation(len(rows))) if len(w) > 40)
+            at = int(rng.integers(0, len(words) - n))
+            part = words[at : at + n]
+            for gone in rng.choice(n, min(n, k), replace=False):
+                part[gone] = f"other{gone}"
+            items.append((10_000 + 10 * n + k, " ".join(part)))
+    rows += [(900_000 + n, " ".join(f"w{j}" for j in range(n))) for n in range(1, 6)]
+    items += [(20_000 + n, " ".join(f"w{j}" for j in range(n))) for n in range(1, 6)] + [(30_000, None), (30_001, "!!")]
+    found = decontaminate.overlaps(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    want = overlaps_by_force(rows, items)
+    assert {(r["doc_id"], r["item_id"]): r["agreeing"] for r in found} == want
+    assert len({item for _, item in want if item >= 10_000}) > 30
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_masks_miss_no_allowed_substitutions(n):
+    from itertools import combinations
+
+    for gone in combinations(range(n), n - decontaminate.needed(n)):
+        assert any(not set(mask) & set(gone) for mask in decontaminate.short_masks(n))
+
+
 def test_masks_find_any_two_substitutions():
     from itertools import combinations
 
