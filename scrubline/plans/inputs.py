@@ -8,7 +8,7 @@ oracle; everything else is stated separately on each side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions.rules import ENTITY_TYPES, RULES, Rule
@@ -266,26 +266,23 @@ def entities_in(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.inline(spans)).where("start >= 0")
 
 
-# the kinds of entities that words are marked with in turn; the last is none of the known ones
-WORD_KINDS = [*ENTITY_TYPES, "ORGANISATION"]
-# so many characters of the word behind it a span may reach into
-REACH = 2
-
-
-def word_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of three words of every document as spans; the first of each two reaches into the second."""
-    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = documents.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("at", "word"))
-    in_text = Window.partitionBy("doc_id").orderBy("at")
-    before = F.coalesce(F.sum(F.length("word") + 1).over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    behind = F.coalesce(F.length(F.lead("word").over(in_text)), F.lit(0))
-    placed = words.select("doc_id", "at", F.length("word").alias("size"), before.alias("start"), behind.alias("behind"))
-    reaches = (F.col("at") % 3 == 0) & (F.col("behind") > 0)
-    end = F.col("start") + F.col("size") + F.when(reaches, 1 + F.least(F.col("behind"), F.lit(REACH))).otherwise(0)
-    kind = F.element_at(F.array(*map(F.lit, WORD_KINDS)), ((F.col("at") + F.col("doc_id")) % len(WORD_KINDS) + 1).cast("int"))
-    return placed.where("at % 3 <> 2").select(
-        "doc_id", kind.alias("entity_type"), F.col("start").cast("int").alias("start"), end.cast("int").alias("end")
-    )
+# the kinds of entities that stretches of text are marked with in turn; the last is none of the known ones
+MARK_KINDS = [*ENTITY_TYPES, "ORGANISATION"]
+# marks start so many characters apart, two of three; the first of two reaches into the second, which has its own length
+MARK_STRIDE, MARK_REACH, MARK_SIZE, MARK_ALONE = 30, 2, 20, 10
+
+
+def marked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans over the whole of every document, every second of which the one before reaches into."""
+    documents = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.length("text").alias("size"))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / MARK_STRIDE).cast("int")))
+    marks = documents.select("doc_id", "size", at.alias("k")).where("k % 3 < 2")
+    start, behind = F.col("k") * MARK_STRIDE, (F.col("k") + 1) * MARK_STRIDE
+    first = F.when(behind + MARK_SIZE <= F.col("size"), behind + MARK_REACH).otherwise(start + MARK_ALONE)
+    end = F.when(F.col("k") % 3 == 0, first).otherwise(start + MARK_SIZE)
+    kind = F.element_at(F.array(*map(F.lit, MARK_KINDS)), ((F.col("k") + F.col("doc_id")) % len(MARK_KINDS) + 1).cast("int"))
+    marked = marks.select("doc_id", kind.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), "size")
+    return marked.where("end <= size").drop("size")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

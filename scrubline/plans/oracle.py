@@ -214,37 +214,38 @@ spanned AS (SELECT d.*, coalesce(p.span_count, 0) AS span_count,
   FROM {relation} d LEFT JOIN pieces p ON d.{id_col} = p.{id_col})"""
 
 
-# each word of the documents with its place, and the span on it
-WORD_SPANS = f"""words AS (
-  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM documents),
-near AS (
-  SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY k) AS following, k % 3 = 0 AS reaching,
-    k % 3 = 1 AND length(word) > 0 AS reached FROM words),
-spans AS (
-  SELECT *, [{", ".join(f"'{k}'" for k in inputs.WORD_KINDS)}][(k + doc_id) % {len(inputs.WORD_KINDS)} + 1] AS entity_type,
-    reaching AND coalesce(length(following), 0) > 0 AS overlapping
-  FROM near WHERE (reaching AND (length(word) > 0 OR coalesce(length(following), 0) > 0)) OR reached)"""
+# the stretches of the documents, and whether there is a span on them
+MARKS = f"""places AS (
+  SELECT doc_id, text, length(text) AS size, unnest(range(CAST((length(text) - 1) // {inputs.MARK_STRIDE} + 1 AS BIGINT))) AS k
+  FROM documents WHERE text <> ''),
+stretches AS (
+  SELECT *, substr(text, k * {inputs.MARK_STRIDE} + 1, {inputs.MARK_STRIDE}) AS seg,
+    [{", ".join(f"'{k}'" for k in inputs.MARK_KINDS)}][(k + doc_id) % {len(inputs.MARK_KINDS)} + 1] AS entity_type,
+    k % 3 = 0 AND (k + 1) * {inputs.MARK_STRIDE} + {inputs.MARK_SIZE} <= size AS reaching,
+    (k % 3 = 0 AND k * {inputs.MARK_STRIDE} + {inputs.MARK_ALONE} <= size)
+      OR (k % 3 = 1 AND k * {inputs.MARK_STRIDE} + {inputs.MARK_SIZE} <= size) AS marked
+  FROM places)"""
 
 
 def overlapping_spans() -> str:
-    """Documents put together from words and tokens; a token that a span reaches into loses as many characters."""
+    """Documents put together from stretches and tokens; a token that a span reaches into loses as many characters."""
     tokens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPAN_TOKENS.items())
     order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATEGORIES))
-    return f"""WITH {WORD_SPANS},
-named AS (SELECT *, {entity_category()} AS category FROM spans),
+    return f"""WITH {MARKS},
+named AS (SELECT *, CASE WHEN marked THEN {entity_category()} END AS category FROM stretches),
 pieces AS (
-  SELECT n.doc_id, n.k, s.category, s.overlapping,
-    CASE WHEN s.category IS NULL THEN n.word
-      WHEN n.reached THEN substr(CASE s.category {tokens} END, 1 + least(length(n.word), {inputs.REACH}))
-      ELSE CASE s.category {tokens} END END
-    || CASE WHEN n.following IS NULL OR s.overlapping THEN '' ELSE ' ' END AS piece
-  FROM near n LEFT JOIN named s ON n.doc_id = s.doc_id AND n.k = s.k),
+  SELECT *, CASE WHEN NOT marked THEN seg
+    WHEN reaching THEN CASE category {tokens} END
+    WHEN k % 3 = 0 THEN CASE category {tokens} END || substr(seg, {inputs.MARK_ALONE} + 1)
+    ELSE substr(CASE category {tokens} END, {inputs.MARK_REACH} + 1) || substr(seg, {inputs.MARK_SIZE} + 1) END AS piece
+  FROM named),
 built AS (
   SELECT doc_id, string_agg(piece, '' ORDER BY k) AS span_text, count(category) AS span_count,
     list_sort(list(DISTINCT CASE category {order} END) FILTER (category IS NOT NULL)) AS ordinals,
-    count(*) FILTER (overlapping) AS overlap_count
+    count(*) FILTER (reaching) AS overlap_count
   FROM pieces GROUP BY doc_id)
-SELECT d.doc_id, span_text, span_count, {ordinals_as_text("coalesce(ordinals, [])")} AS span_categories, overlap_count
+SELECT d.doc_id, coalesce(span_text, d.text) AS span_text, coalesce(span_count, 0) AS span_count,
+  {ordinals_as_text("coalesce(ordinals, [])")} AS span_categories, coalesce(overlap_count, 0) AS overlap_count
 FROM documents d LEFT JOIN built USING (doc_id)"""
 
 
@@ -490,8 +491,8 @@ def oracle_sql() -> dict[str, str]:
         "bucket_ages": f"SELECT note_id, {ages} AS text FROM ({NOTES})",
         "map_entity_types": f"""WITH n AS ({NOTES}), found AS ({entities("n", "note_id", "text")})
             SELECT entity_type, {entity_category()} AS category, count(*) AS n FROM found GROUP BY ALL""",
-        "map_all_entity_types": f"""WITH {WORD_SPANS} SELECT entity_type, {entity_category()} AS category, count(*) AS n
-            FROM spans GROUP BY ALL""",
+        "map_all_entity_types": f"""WITH {MARKS} SELECT entity_type, {entity_category()} AS category, count(*) AS n
+            FROM stretches WHERE marked GROUP BY ALL""",
         "redact_overlapping_spans": overlapping_spans(),
         "redact_spans": f"""WITH n AS ({NOTES}), {span_redaction("n", "note_id", "text")}
             SELECT note_id, span_text, span_count, {ordinals_as_text("span_ordinals")} AS span_categories,

@@ -201,7 +201,7 @@ def map_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def map_all_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = inputs.word_entities(spark, sf_dir)
+    entities = inputs.marked_entities(spark, sf_dir)
     return entities.groupBy(
         "entity_type", spans.entity_category(F.col("entity_type")).alias("category")
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -223,9 +223,9 @@ def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of all words of the documents, every other span cut short by the one before it."""
+    """Spans all over the documents, every other one cut short by the one before it."""
     documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return flat_spans(spans.redact_spans(documents, inputs.word_entities(spark, sf_dir), "doc_id"), "doc_id")
+    return flat_spans(spans.redact_spans(documents, inputs.marked_entities(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query
