@@ -6,7 +6,8 @@ Copies of whole texts are set aside first: a copy loses everything, and the smal
 
 1. Every string is assigned to the least hash of the 24-byte pieces it holds.  Neighbouring strings share
    it, so a text falls into short stretches, one key each, and equal strings always fall to equal keys.
-2. A filter of fixed size tells which keys may occur twice; stretches with other keys go no further.
+2. A filter tells which keys may occur twice; stretches with other keys go no further.  Its size follows from the
+   counted keys; at its largest it lets more stretches through, which costs work and changes no result.
 3. Equal stretches are folded to the smallest document that holds them.
 4. The different stretches of a key are brought together, and the suffixes of a block of stretches are sorted
    one bucket at a time: by eight bytes first, and long ties by the ranks of a difference
@@ -32,14 +33,19 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import bodies, by_bytes, small_or_shuffled, stored, tidy
 
 PIECE = 24
-FILTER_BITS = 27
-FILTER_BUCKETS = 12
+# bits of the address of a filter, at least and at most (16 to 128 MB); in between it has eight bits for each key
+LEAST_FILTER, MOST_FILTER = 27, 30
+# keys are gathered in buckets by their top bits; a bucket stands for so many bytes of text
+BUCKET_TEXT = 1 << 26
+LEAST_BUCKETS, MOST_BUCKETS = 12, 20
 MOST_STRINGS = 64
 # places travel with a number of strings or bytes as one number
 SPAN_BITS = 8
 SPAN_UNIT = 1 << SPAN_BITS
 BLOCK_BYTES = 6 << 20
 BUCKET_SUFFIXES = 1 << 19
+# a stretch is known by 128 bits
+IDENTITY = ["stretch_hash", "stretch_check"]
 # keys with more stretches than this are grouped by value instead of sorted in one task
 STRETCHES_AT_ONCE = 65_536
 
@@ -93,24 +99,41 @@ def stretches(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.nd
         starts = np.repeat(starts, cuts) + within * MOST_STRINGS
         counts = np.minimum(MOST_STRINGS, np.repeat(counts, cuts) - within * MOST_STRINGS)
     owner = np.searchsorted(ends, starts, side="right")
-    return data, least[starts], owner, starts, counts
+    # least hashes crowd at the low end; multiplied, they spread over all buckets and bits
+    return data, least[starts] * _ODD[2], owner, starts, counts
 
 
-def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
-    """Bits, by the top of a key, of the keys that may occur twice; the size is fixed."""
-    low = FILTER_BITS - FILTER_BUCKETS
+def filter_size(keys: int) -> int:
+    """Bits of the address of a filter for so many keys."""
+    return min(MOST_FILTER, max(LEAST_FILTER, (8 * keys).bit_length()))
+
+
+def _bit_table(rows: DataFrame, buckets: int, size: int) -> np.ndarray:
+    """All bits of a filter of rows (bucket, bits)."""
+    table = np.zeros((1 << buckets, (1 << (size - buckets)) // 8), np.uint8)
+    with tidy(rows.sparkSession):
+        found = rows.collect()
+    for row in found:
+        table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def repeat_filter(texts: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """Bits, by the top of a key, of the keys that may occur twice, and the bits of their address."""
+    total = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, (total // BUCKET_TEXT).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in by_bytes(batches):
             _, keys, owner, _, _ = stretches(some, length)
-            keys >>= np.uint64(32 - FILTER_BUCKETS)
+            keys >>= np.uint64(32 - buckets)
             order = np.argsort(keys)
             keys, owner = keys[order], owner[order]
             same = keys[1:] == keys[:-1]
             # a key of several documents has neighbours of different documents
             again = np.unique(keys[1:][same & (owner[1:] != owner[:-1])])
             once = keys[np.append(~same, True)] if len(keys) else keys
-            bounds = np.arange((1 << FILTER_BUCKETS) + 1, dtype=np.uint64) << np.uint64(32)
+            bounds = np.arange((1 << buckets) + 1, dtype=np.uint64) << np.uint64(32)
             at, at_again = np.searchsorted(once, bounds[:-1]), np.searchsorted(again, bounds[:-1])
             parts = [np.split(x.astype("<u4"), cut[1:]) for x, cut in ((once, at), (again, at_again))]
             kept = [k for k, one in enumerate(parts[0]) if len(one)]
@@ -121,24 +144,21 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
                 )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def slice_of(bucket: int, once: list[bytes], again: list[bytes]) -> tuple[int, bytes]:
+        def twice_of(bucket: int, once: list[bytes], again: list[bytes]) -> tuple[int, int, bytes]:
             keys = np.sort(np.frombuffer(b"".join(once), "<u4"))
-            twice = np.concatenate([keys[1:][keys[1:] == keys[:-1]], np.frombuffer(b"".join(again), "<u4")])
-            bits = np.zeros(1 << low, bool)
-            bits[twice >> np.uint32(32 - low)] = True
-            return bucket, np.packbits(bits, bitorder="little").tobytes()
+            twice = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], np.frombuffer(b"".join(again), "<u4")]))
+            return bucket, len(twice), twice.tobytes()
 
-        def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "bits"]
-            )
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["bucket", "n", "twice"])
 
         now, once, again, done = None, [], [], []
         for batch in batches:
             for bucket, one, more in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "again"))):
                 if bucket != now:
                     if now is not None:
-                        done.append(slice_of(now, once, again))
+                        done.append(twice_of(now, once, again))
                     now, once, again = bucket, [], []
                 once.append(one)
                 again.append(more)
@@ -146,33 +166,40 @@ def repeat_filter(texts: DataFrame, length: int) -> np.ndarray:
                     yield batch_of(done)
                     done = []
         if now is not None:
-            done.append(slice_of(now, once, again))
+            done.append(twice_of(now, once, again))
         if done:
             yield batch_of(done)
 
-    rows = (
+    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for keys in batch.column("twice").to_pylist():
+                bits = np.zeros(1 << (size - buckets), bool)
+                bits[np.frombuffer(keys, "<u4") >> np.uint32(32 - (size - buckets))] = True
+                found.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(found, pa.binary())], ["bucket", "bits"])
+
+    twice = stored(
         texts.select("body").mapInArrow(gather, "bucket int, once binary, again binary")
-        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, bits binary")
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, n long, twice binary"),
+        "keys-twice",
     )
-    table = np.zeros((1 << FILTER_BUCKETS, (1 << low) // 8), np.uint8)
-    with tidy(texts.sparkSession):
-        found = rows.collect()
-    for row in found:
-        table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return table.reshape(-1)
+    size = filter_size(twice.agg(F.sum("n")).first()[0] or 0)
+    return _bit_table(twice.select("bucket", "twice").mapInArrow(to_bits, "bucket int, bits binary"), buckets, size), size
 
 
 def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _head_slot(stretch_hash: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return (stretch_hash ^ (doc_id.view(np.uint64) << np.uint64(64 - FILTER_BITS))) >> np.uint64(64 - FILTER_BITS)
+def _head_slot(stretch_hash: np.ndarray, doc_id: np.ndarray, size: int) -> np.ndarray:
+    return (stretch_hash ^ (doc_id.view(np.uint64) << np.uint64(64 - size))) >> np.uint64(64 - size)
 
 
-def head_filter(heads: DataFrame) -> np.ndarray:
-    """Bits of the pairs (stretch, smallest document); the size is fixed."""
-    rest, low = 64 - FILTER_BITS, FILTER_BITS - FILTER_BUCKETS
+def head_filter(heads: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the pairs (stretch, smallest document), and the bits of their address."""
+    size = filter_size(heads.count())
+    rest, low = 64 - size, size - LEAST_BUCKETS
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -180,46 +207,46 @@ def head_filter(heads: DataFrame) -> np.ndarray:
             slot = np.sort(batch.column("slot").to_numpy())
             buckets, first = np.unique(slot >> low, return_index=True)
             for bucket, some in zip(buckets.tolist(), np.split(slot, first[1:])):
-                found.setdefault(bucket, np.zeros(1 << low, bool))[some & ((1 << low) - 1)] = True
-        packed = [np.packbits(bits, bitorder="little").tobytes() for bits in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "bits"])
+                bits = np.zeros(1 << low, bool)
+                bits[some & ((1 << low) - 1)] = True
+                packed = np.packbits(bits, bitorder="little")
+                found[bucket] = found[bucket] | packed if bucket in found else packed
+        rows = [bits.tobytes() for bits in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "bits"])
 
     slot = F.shiftrightunsigned(F.col("stretch_hash").bitwiseXOR(F.shiftleft("head", rest)), rest)
     slots = heads.select(slot.alias("slot")).repartition(F.shiftright("slot", low))
-    with tidy(heads.sparkSession):
-        rows = slots.mapInArrow(merge, "bucket int, bits binary").collect()
-    table = np.zeros((1 << FILTER_BUCKETS, (1 << low) // 8), np.uint8)
-    for row in rows:
-        table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return table.reshape(-1)
+    return _bit_table(slots.mapInArrow(merge, "bucket int, bits binary"), LEAST_BUCKETS, size), size
 
 
 def _hits(texts: DataFrame, length: int, keys_bits, heads_bits, schema: str) -> DataFrame:
     """Stretches the filters let through, without their bytes, or, given the filter of heads, with them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, heads = keys_bits.value, heads_bits.value if heads_bits else None
+        bits, size = keys_bits.value
+        heads, heads_size = heads_bits.value if heads_bits else (None, 0)
         for batch, some in by_bytes(batches):
             data, keys, owner, starts, counts = stretches(some, length)
-            hit = np.flatnonzero(_has(bits, keys >> np.uint64(64 - FILTER_BITS)))
+            hit = np.flatnonzero(_has(bits, keys >> np.uint64(64 - size)))
             sizes = np.fromiter(map(len, some), np.int64, len(some))
             begins = np.cumsum(sizes) - sizes
             ids = batch.column("doc_id").to_numpy()
             for at in range(0, len(hit), 50_000):
                 part = hit[at : at + 50_000]
                 pieces = [data[s:e] for s, e in zip(starts[part].tolist(), (starts[part] + counts[part] + length - 1).tolist())]
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
+                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
+                hashes, checks = np.ascontiguousarray(digests.T)
                 who = owner[part]
                 if heads is None:
                     columns = [
                         batch.column("doc_id").take(pa.array(who)), batch.column("text_key").take(pa.array(who)),
-                        pa.array((starts[part] - begins[who]) * SPAN_UNIT + counts[part]), pa.array(hashes.view(np.int64)),
+                        pa.array((starts[part] - begins[who]) * SPAN_UNIT + counts[part]), pa.array(hashes.view(np.int64)), pa.array(checks.view(np.int64)),
                     ]
                 else:
-                    of = np.flatnonzero(_has(heads, _head_slot(hashes, ids[who])))
+                    of = np.flatnonzero(_has(heads, _head_slot(hashes, ids[who], heads_size)))
                     columns = [
-                        pa.array(keys[part][of].view(np.int64)), pa.array(hashes[of].view(np.int64)), pa.array(ids[who[of]]),
-                        pa.array([pieces[k] for k in of], pa.binary()),
+                        pa.array(keys[part][of].view(np.int64)), pa.array(hashes[of].view(np.int64)), pa.array(checks[of].view(np.int64)),
+                        pa.array(ids[who[of]]), pa.array([pieces[k] for k in of], pa.binary()),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -236,13 +263,16 @@ def candidate_stretches(texts: DataFrame, length: int) -> tuple[DataFrame, DataF
     context = texts.sparkSession.sparkContext
     keys = context.broadcast(repeat_filter(texts, length))
     places = stored(
-        _hits(texts, length, keys, None, "doc_id long, text_key long, at long, stretch_hash long"), "stretches"
+        _hits(texts, length, keys, None, "doc_id long, text_key long, at long, stretch_hash long, stretch_check long"), "stretches"
     )
-    heads = stored(places.groupBy("stretch_hash").agg(F.min("doc_id").alias("head")), "stretch-heads")
+    heads = stored(places.groupBy(*IDENTITY).agg(F.min("doc_id").alias("head")), "stretch-heads")
     bits = context.broadcast(head_filter(heads))
     distinct = stored(
-        _hits(texts, length, keys, bits, "key long, stretch_hash long, head long, stretch binary"), "distinct-stretches"
+        _hits(texts, length, keys, bits, "key long, stretch_hash long, stretch_check long, head long, stretch binary"), "distinct-stretches"
     )
+    # the tables are stored, so no later task needs the filters
+    keys.destroy()
+    bits.destroy()
     return places, heads, distinct
 
 
@@ -338,7 +368,7 @@ def repeated_strings(pieces: list[bytes], docs: np.ndarray, length: int) -> tupl
 
 
 def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
-    """(stretch_hash, head, spans): the runs of strings of distinct stretches that a smaller document holds elsewhere."""
+    """(stretch_hash, stretch_check, head, spans): the runs of strings of distinct stretches that a smaller document holds elsewhere."""
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = stored(sizes.where(F.col("n") > STRETCHES_AT_ONCE).select("key"), "large-keys")
 
@@ -352,10 +382,10 @@ def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
             last = np.append(first[1:], len(piece)) - 1
             rows = piece[first].tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([hashes[r] for r in rows]), pa.array([docs[r] for r in rows]), pa.array(place[first].astype(np.int32)),
-                 pa.array((place[last] + 1).astype(np.int32))], ["stretch_hash", "head", "from", "to"])
+                [pa.array([hashes[r] for r in rows]), pa.array([checks[r] for r in rows]), pa.array([docs[r] for r in rows]), pa.array(place[first].astype(np.int32)),
+                 pa.array((place[last] + 1).astype(np.int32))], [*IDENTITY, "head", "from", "to"])
 
-        keys, hashes, docs, stretch, size = [], [], [], [], 0
+        keys, hashes, checks, docs, stretch, size = [], [], [], [], [], 0
         group: list[tuple] = []
 
         def close(group: list[tuple]) -> int:
@@ -363,40 +393,40 @@ def repeats_within(distinct: DataFrame, length: int) -> DataFrame:
             if len(group) < 2:
                 return 0
             for row in group:
-                for column, value in zip((keys, hashes, docs, stretch), row):
+                for column, value in zip((keys, hashes, checks, docs, stretch), row):
                     column.append(value)
-            return sum(len(row[3]) for row in group)
+            return sum(len(row[-1]) for row in group)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "stretch_hash", "head", "stretch"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", *IDENTITY, "head", "stretch"))):
                 if group and row[0] != group[0][0]:
                     size += close(group)
                     group = []
                     if size >= BLOCK_BYTES:
                         if (found := block()) is not None:
                             yield found
-                        keys, hashes, docs, stretch, size = [], [], [], [], 0
+                        keys, hashes, checks, docs, stretch, size = [], [], [], [], [], 0
                 group.append(row)
         size += close(group)
         if size and (found := block()) is not None:
             yield found
 
-    schema = "stretch_hash long, head long, from int, to int"
+    schema = "stretch_hash long, stretch_check long, head long, from int, to int"
     sorted_ones = (
-        distinct.join(large, "key", "left_anti").select("key", "stretch_hash", "head", "stretch")
+        distinct.join(large, "key", "left_anti").select("key", *IDENTITY, "head", "stretch")
         .repartition("key").sortWithinPartitions("key").mapInArrow(sort, schema)
     )
     strings = distinct.join(large, "key", "left_semi").select(
-        "stretch_hash", "head",
+        *IDENTITY, "head",
         F.posexplode(F.expr(f"transform(sequence(1, octet_length(stretch) - {length - 1}), k -> substring(stretch, k, {length}))")).alias("from", "string"),
     )
     least = strings.groupBy("string").agg(F.min("head").alias("least"))
     grouped_ones = strings.join(least, "string").where("least < head").select(
-        "stretch_hash", "head", "from", (F.col("from") + 1).alias("to")
+        *IDENTITY, "head", "from", (F.col("from") + 1).alias("to")
     )
     spans = sorted_ones.unionByName(grouped_ones)
     return stored(
-        spans.groupBy("stretch_hash", "head").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "inner-spans"
+        spans.groupBy(*IDENTITY, "head").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "inner-spans"
     )
 
 
@@ -441,23 +471,24 @@ def remove_repeats(
     own = texts.join(small_or_shuffled(copies.drop("n")), ["doc_id", "text_key"], "left_anti")
     found, heads, distinct = candidate_stretches(own, length)
     inside = repeats_within(distinct, length)
-    named = heads.select("stretch_hash", "head").join(inside, ["stretch_hash", "head"], "left")
+    named = heads.select(*IDENTITY, "head").join(inside, [*IDENTITY, "head"], "left")
     # a stretch that a smaller document holds as a whole is repeated as a whole
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
     # a span is one number: its place, and its length, which is less than the unit
     spans = (
-        found.join(named, "stretch_hash")
+        found.join(named, IDENTITY)
         .withColumn("place", F.shiftright("at", SPAN_BITS)).withColumn("strings", F.col("at").bitwiseAND(SPAN_UNIT - 1).cast("int"))
-        .select("text_key", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
-        .select("text_key", (F.shiftleft(F.col("place") + F.col("s.from"), SPAN_BITS) + (F.col("s.to") - F.col("s.from") + (length - 1))).alias("span"))
+        .select("doc_id", "text_key", "place", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("spans"))).alias("s"))
+        .select("doc_id", "text_key", (F.shiftleft(F.col("place") + F.col("s.from"), SPAN_BITS) + (F.col("s.to") - F.col("s.from") + (length - 1))).alias("span"))
     )
-    by_doc = stored(spans.groupBy("text_key").agg(F.collect_list("span").alias("spans")), "spans")
+    by_doc = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans")), "spans")
     carried = [F.col(f"`{name}`").alias(f"carried_{k}") for k, name in enumerate(carry)]
     whole_docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"), *carried
     ).withColumn("text_key", hashed)
-    copied = copies.select("text_key", F.lit(True).alias("copy"))
-    joined = whole_docs.join(by_doc, "text_key", "left").join(small_or_shuffled(copied), "text_key", "left").drop("text_key")
+    copied = copies.select("doc_id", "text_key", F.lit(True).alias("copy"))
+    named_by = ["doc_id", "text_key"]
+    joined = whole_docs.join(by_doc, named_by, "left").join(small_or_shuffled(copied), named_by, "left").drop("text_key")
     names = [name for name in joined.columns if name.startswith("carried_")]
 
     kept_text = ["kept_text"] if texts_too else []

@@ -139,6 +139,17 @@ def test_suffix_dedup(odd, none, monkeypatch, at_once):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_keys_fill_a_filter_evenly():
+    text = np.random.default_rng(5).integers(0, 256, 400_000, dtype=np.uint8).tobytes()
+    keys = suffix_dedup.stretches([text], 50)[1]
+    tops = np.bincount((keys >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert tops.min() > 0.8 * tops.mean() and tops.max() < 1.2 * tops.mean()
+
+
+def test_filters_grow_with_their_keys_up_to_a_bound():
+    assert [suffix_dedup.filter_size(n) for n in (0, 1 << 24, 1 << 26, 1 << 40)] == [27, 28, 30, 30]
+
+
 def test_suffix_classes_of_long_ties():
     rng = np.random.default_rng(2)
     pieces = [bytes(rng.choice(list(b"ab"), 200)) for _ in range(6)] + [b"a" * 300, b"a" * 120, b"ab" * 90, b"ab" * 70]
