@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by columnar branch and bound.
 
-Vectors lie dimension by dimension.  Scores of a tile of queries are summed up one block of
-dimensions at a time, the dimensions with most mass first.  After each block a candidate's score can
+Vectors lie dimension by dimension.  Queries are ordered so that like ones share a small tile.  Scores of a tile are summed up one
+block of dimensions at a time, the dimensions with most mass first.  After each block a candidate's score can
 still grow by the product of the norms of what remains of both vectors; candidates that cannot reach the k-th
-best score of any query of the tile are dropped and the columns are packed anew.
+best score of any query of the tile are dropped and the columns are packed anew.  A tile that has no k scores yet first sums up the
+candidates that lead after one block, so that the bound cuts from the first rows on.
 
 Queries come in blocks of bounded size.  Each block is broadcast and meets every row where it
 lies, so the rows are never moved again; each task returns its best k.
@@ -23,9 +24,9 @@ from scrubline.llm.common import stored
 from scrubline.session import scratch_path
 
 QUERY_BLOCK = 4096
-TILE = 128
+TILE = 8
 CANDIDATES = 4096
-DIMENSIONS = 16
+DIMENSIONS = 8
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -59,11 +60,20 @@ def _exact_type(queries: np.ndarray, base: np.ndarray):
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
+def like_order(queries: np.ndarray) -> np.ndarray:
+    """An order of the ``queries`` (dimensions, queries) in which those of like direction follow each other."""
+    unit = queries / np.maximum(np.sqrt((queries.astype(np.float64) ** 2).sum(axis=0)), 1e-300)
+    pivots = unit[:, :: 2 * TILE]
+    likeness = pivots.T @ unit
+    nearest = likeness.argmax(axis=0)
+    return np.lexsort((-likeness[nearest, np.arange(len(nearest))], nearest))
+
+
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id."""
+    """The k best (score, id) of each query so far, ties to the smaller id, and the multiplications spent."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.kth = k, np.full(queries, -np.inf)
+        self.k, self.kth, self.products = k, np.full(queries, -np.inf), 0
         self.query, self.score, self.id = (np.empty(0, t) for t in (np.int64,) * 3)
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -79,6 +89,16 @@ class Best:
         self.query, self.score, self.id = query[kept], score[kept], ids[kept]
 
 
+def _kth(sums: np.ndarray, query_ids: np.ndarray, base_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of whole scores (queries, rows) to rows but the query's own, or what is surely no more."""
+    values = np.where(query_ids[:, None] == base_ids[None, :], -np.inf, sums.astype(np.float64))
+    if values.shape[1] < k:
+        return np.full(len(values), -np.inf)
+    reach = np.partition(values, values.shape[1] - k, axis=1)[:, -k]
+    # scores too large for floating point were rounded
+    return np.where(np.isfinite(reach), reach - np.abs(reach) * 1e-9, reach) if sums.dtype == object else reach
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, best: Best) -> None:
     """Add the best of ``base`` (dimensions, rows) for all ``queries`` (dimensions, queries) to ``best``."""
     kind = _exact_type(queries, base)
@@ -105,19 +125,21 @@ def search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_id
         for at, start in enumerate(starts):
             block = slice(start, start + DIMENSIONS)
             sums += part[block].T @ base[block][:, alive]
-            if np.isfinite(need).all() and at + 1 < len(starts):
+            best.products += part[block].size * len(alive)
+            if at == 0 and len(starts) > 1 and len(alive) > best.k and not np.isfinite(need).all():
+                # the whole scores of those that lead so far are a bound for all
+                ahead = np.where(query_ids[span][:, None] == base_ids[alive][None, :], -np.inf, sums.astype(np.float64))
+                seeds = alive[np.unique(np.argpartition(ahead, len(alive) - best.k, axis=1)[:, -best.k :])]
+                best.products += part.size * len(seeds)
+                need = np.maximum(need, _kth(part.T @ base[:, seeds], query_ids[span], base_ids[seeds], best.k))
+            if np.isfinite(need).any() and at + 1 < len(starts):
                 bound = sums.astype(np.float64) + left[at + 1][:, None] * base_left[at + 1][alive][None, :]
                 keep = (bound * (1 + 1e-9 * np.sign(bound)) >= need[:, None]).any(axis=0)
-                if keep.sum() < 0.8 * len(alive):
+                if keep.sum() < 0.9 * len(alive):
                     alive, sums = alive[keep], sums[:, keep]
-        values = sums.astype(np.float64)
         own = query_ids[span][:, None] == base_ids[alive][None, :]
-        values[own] = -np.inf
-        if values.shape[1] > best.k:
-            reach = np.partition(values, values.shape[1] - best.k, axis=1)[:, -best.k]
-            if kind is object:
-                reach = reach - np.abs(reach) * 1e-9
-            need = np.maximum(need if kind is not object else need - np.abs(need) * 1e-9, reach)
+        values = np.where(own, -np.inf, sums.astype(np.float64))
+        need = np.maximum(need, _kth(sums, query_ids[span], base_ids[alive], best.k))
         row, column = np.nonzero((values >= need[:, None]) & ~own)
         if len(row):
             best.add(row + tile, sums[row, column].astype(np.int64), base_ids[alive[column]])
@@ -147,7 +169,8 @@ def top_k(
         matrix = np.zeros((width, len(block)), np.int64)
         for at, row in enumerate(block):
             matrix[: len(row["ints"]), at] = row["ints"]
-        shared = spark.sparkContext.broadcast((matrix, np.array([row["vec_id"] for row in block])))
+        alike = like_order(matrix)
+        shared = spark.sparkContext.broadcast((matrix[:, alike], np.array([row["vec_id"] for row in block])[alike]))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             wanted, ids = shared.value
@@ -166,7 +189,7 @@ def top_k(
             )
 
         rows.select("vec_id", "ints").mapInArrow(find, schema).write.mode("append").parquet(out)
-        shared.unpersist()
+        shared.destroy()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = spark.read.schema(schema).parquet(out).withColumn("rank", place).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
