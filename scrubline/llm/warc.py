@@ -28,6 +28,8 @@ from scrubline.session import scratch_path
 READ_BYTES = 1 << 16
 ARCHIVE_BYTES = 256 << 20
 MOST_HEADER_BYTES = 1 << 20
+# archives are read by a task each, or by so many tasks if there are more
+MOST_READERS = 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST_SCHEMA = "path string, records long, bytes long"
@@ -240,7 +242,10 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row per record of the listed archives, each archive read by one task from start to end."""
+    """A row per record of the listed archives, each archive read by one task from start to end.
+
+    The list is short, so adaptive execution would merge all of it into one task; a stated number of tasks stays.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda text: None if text is None else int(text)
@@ -265,7 +270,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD_SCHEMA)
+    tasks = min(max(1, manifest.count()), MOST_READERS)
+    return manifest.select("path").repartition(tasks).mapInArrow(read, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
