@@ -75,6 +75,40 @@ def test_top_k(spark):
     assert topk.top_k(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_bounds_save_most_multiplications_on_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((64, 100))
+    base = np.floor(64 * (np.tile(centres, 200) + 0.1 * rng.standard_normal((64, 20_000)))).astype(np.int64)
+    base = base[:, rng.permutation(base.shape[1])]
+    ids = np.arange(base.shape[1])
+    wanted = ids[::20]
+    wanted = wanted[topk.like_order(base[:, wanted])]
+    queries = base[:, wanted]
+    best = topk.Best(len(wanted), 20)
+    for at in range(0, len(ids), topk.CANDIDATES):
+        span = slice(at, at + topk.CANDIDATES)
+        topk.search(queries, wanted, base[:, span], ids[span], best)
+    assert best.products < 0.3 * queries.size * base.shape[1]
+    scores = queries.T @ base
+    for q in range(0, len(wanted), 50):
+        order = [i for i in np.lexsort((ids, -scores[q])) if i != wanted[q]][:20]
+        assert best.id[best.query == q].tolist() == order and best.score[best.query == q].tolist() == scores[q][order].tolist()
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 28])
+def test_bounds_lose_nothing_to_ties_and_large_numbers(scale):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2, 3, (30, 500)) * scale
+    ids = rng.permutation(500)
+    best = topk.Best(50, 20)
+    for at in range(0, 500, 170):
+        topk.search(base[:, :50], ids[:50], base[:, at : at + 170], ids[at : at + 170], best)
+    scores = base[:, :50].T @ base
+    for q in range(50):
+        order = [i for i in np.lexsort((ids, -scores[q])) if i != q][:20]
+        assert best.id[best.query == q].tolist() == ids[order].tolist()
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 300_000
     pages = [(1, "http://a", "same " * 40), (2, "http://b c\n", "same " * 40), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "ü", big + "é")]
@@ -87,6 +121,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(table.where("page_id < 0")).count() == 0
 
 
+def test_many_small_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    read = warc.round_trip(pages.repartition(8))
+    by_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 40 and len(by_task) > 8
+
+
 def test_warc_reader_finds_broken_records():
     good = warc.record_member(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False)
     assert [r.payload for r in warc.read_records(io.BytesIO(good * 3), keep_payload=True)] == [b"payload"] * 3
