@@ -27,9 +27,9 @@ HIDDEN = 12
 WINDOWS_AT_ONCE = 4096
 LETTER = re.compile(r"[^\W\d_]")
 
-# the bounded training sample: documents of each language, windows of each document
+# the bounded training sample: documents of each language, and bytes of their whole texts together
 SAMPLE_DOCS = 500
-SAMPLE_WINDOWS = 8
+SAMPLE_BYTES = 8 << 20
 STEPS = 300
 BATCH = 256
 RATE = 0.01
@@ -216,36 +216,44 @@ def label_positions(net: Network, text: bytes) -> list[str]:
 
 
 def train(
-    docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", docs_each: int = SAMPLE_DOCS
+    docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", docs_each: int = SAMPLE_DOCS,
+    bytes_each: int = SAMPLE_BYTES,
 ) -> Network | None:
-    """Fit on at most ``docs_each`` different texts of each label among the rows where ``learn`` holds.
+    """Fit on at most ``docs_each`` different texts of each label among the rows where ``learn`` holds, read whole.
 
     The texts are those with the smallest hashes, so they are spread over
-    the table and the same in any partitioning.  Rows without text or label are not learned from; None if there are no others.
+    the table and the same in any partitioning, as many as have ``bytes_each`` together.  A text
+    longer than a sixteenth of that is passed over, lest a few fill the sample.
+    Of a label with many texts only those below a bound on the hash are ranked: the bound expects four times as many as are taken.
+    Rows without text or label are not learned from; None if there are no others.
     """
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("body"), learn.alias("learn")
     ).where("learn AND label IS NOT NULL AND body <> ''")
-    hashed = labelled.select("label", F.xxhash64("body").alias("h")).distinct()
-    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = stored(hashed.withColumn("place", place).where(F.col("place") <= docs_each).select("label", "h"), "language-sample")
+    sized = labelled.select("label", F.xxhash64("body").alias("h"), F.octet_length("body").cast("long").alias("size"))
+    hashed = stored(sized.where(F.col("size") <= bytes_each // 16).groupBy("label", "h").agg(F.max("size").alias("size")), "language-hashes")
+    counts = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # hashes are even over all longs, so this share of them lies below the bound
+    share = F.least(F.lit(1.0), F.lit(4.0 * docs_each) / F.col("n"))
+    near = hashed.join(counts, "label").where(F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) <= share)
+    order = Window.partitionBy("label").orderBy("h")
+    ranked = near.withColumn("place", F.row_number().over(order)).withColumn("together", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = (F.col("place") <= docs_each) & (F.col("together") <= bytes_each)
+    chosen = stored(ranked.where(within).select("label", "h"), "language-sample")
     rows = (
         labelled.withColumn("h", F.xxhash64("body")).join(F.broadcast(chosen), ["label", "h"], "left_semi")
-        .dropDuplicates(["label", "h"])
-        .select("label", "h", F.expr(f"""transform(sequence(0, {SAMPLE_WINDOWS - 1}), k ->
-            substring(cast(body AS binary),
-                cast(pmod(xxhash64(h, k), greatest(octet_length(body) - {WINDOW}, 0) + 1) AS int) + 1, {WINDOW}))""").alias("pieces"))
-        .orderBy("label", "h").collect()
+        .dropDuplicates(["label", "h"]).select("label", "h", F.col("body").cast("binary").alias("body")).orderBy("label", "h").collect()
     )
     labels = sorted({row["label"] for row in rows})
     if not labels:
         return None
     pieces, truth = [], []
     for row in rows:
-        for piece in row["pieces"]:
-            # a short text is repeated to fill its window
-            pieces.append((bytes(piece) * (WINDOW // max(1, len(piece)) + 1))[:WINDOW])
-            truth.append(labels.index(row["label"]))
+        text = bytes(row["body"])
+        # the last window ends with the text; a short text is repeated to fill its window
+        starts = [*range(0, len(text) - WINDOW, WINDOW), max(0, len(text) - WINDOW)]
+        pieces += [(text[at : at + WINDOW] * (WINDOW // min(WINDOW, len(text)) + 1))[:WINDOW] for at in starts]
+        truth += [labels.index(row["label"])] * len(starts)
     windows = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, WINDOW)
     return fit(windows, np.array(truth), labels)
 
