@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 from scrubline.llm.common import bodies, by_bytes
 
+# pieces and their counts are kept for later batches up to so many bytes and pieces
+KEPT_BYTES = 16 << 20
 KEPT_PIECES = 400_000
 LONG_PIECE = 1024
 # a boundary on both sides of an ASCII digit, or between an ASCII letter and an ASCII mark other than an apostrophe
@@ -61,6 +63,7 @@ def token_counts(
         tokenizer.no_truncation()
         tokenizer.no_padding()
         known: dict[bytes, int] = {}
+        kept = 0
 
         def encode(pieces: list[bytes]) -> None:
             long, short = [], []
@@ -80,9 +83,12 @@ def token_counts(
         for batch, texts in by_bytes(batches):
             split = [text.split() for text in texts]
             wanted = set().union(*split)
-            if len(known) > KEPT_PIECES:
+            new = wanted.difference(known)
+            if len(known) + len(new) > KEPT_PIECES or kept + sum(map(len, new)) > KEPT_BYTES:
                 known.clear()
-            encode(list(wanted.difference(known)))
+                kept, new = 0, wanted
+            encode(list(new))
+            kept += sum(map(len, new))
             counts = [sum(map(known.__getitem__, pieces)) for pieces in split]
             yield pa.RecordBatch.from_arrays(
                 [
