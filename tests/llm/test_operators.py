@@ -479,6 +479,26 @@ def test_mixer_is_fitted_on_whole_texts_of_all_kept_documents(spark):
     assert counted[0].sum() == 8 * sum(len(t) + 1 for t in texts) and np.abs(found.refined - want.refined).mean() < 1e-2
 
 
+def test_sampled_texts_are_read_whole(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (10, 64, 65, 1000, 5000)]
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda windows, truth, labels: seen.append({w.tobytes() for w in windows}))
+    table = frame(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    language_id.train(table, F.lit(True), bytes_each=100_000)
+    parts = {t[at : at + 64].encode() for t in texts[1:] for at in [*range(0, len(t) - 64, 64), len(t) - 64]}
+    assert seen[0] == parts | {(texts[0] * 7)[:64].encode()}
+    # a text beyond the bound is passed over, the others stay
+    language_id.train(table, F.lit(True), bytes_each=20_000)
+    assert seen[1] < seen[0] and texts[4][:64].encode() not in seen[1]
+
+
+def test_kept_pieces_are_bounded_by_bytes(odd, monkeypatch):
+    whole = sorted(token_counts.token_counts(odd, tokenizer("word_bpe_49k.json")).collect(), key=str)
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 10)
+    assert sorted(token_counts.token_counts(odd, tokenizer("word_bpe_49k.json")).collect(), key=str) == whole
+
+
 def test_copies_take_no_places_in_the_language_sample(spark, monkeypatch):
     texts = [f"some text number {k} of the sample" for k in range(12)]
     hashed = frame(spark, [(k, t, "en") for k, t in enumerate(texts)]).select("doc_id", F.xxhash64("text").alias("h"))
