@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,19 +97,43 @@ def _canonical_exact(texts: pd.Series) -> pd.Series:
 _canonical_once = _canonical_exact.asNondeterministic()
 
 
-def canonical_json(text: Column) -> Column:
-    """Canonical form of a JSON text column; null where it is not valid JSON."""
+def _in_list(text: Column) -> Column:
+    """Canonical form of a list of the text alone, as the JVM writes it; null where that is not valid JSON."""
+    return F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+
+
+def _is_rare(text: Column, in_list: Column) -> Column:
+    """Whether a text has to go through the Arrow function."""
     # The parser stops after one value.  Whatever may follow that value breaks the
     # list or the object around it, so text that fits both is one whole value.
-    in_list = F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
     in_object = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
     whole = in_list.isNotNull() & in_object.isNotNull()
-    native = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
     openings = F.length(text) - F.length(F.translate(text, "[{", ""))
-    rare = text.rlike(REFORMATTED) | ~whole | (openings > DEEPEST_NESTING)
+    return text.rlike(REFORMATTED) | ~whole | (openings > DEEPEST_NESTING)
+
+
+def _chosen(text: Column, in_list: Column, rare: Column) -> Column:
+    native = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
     return F.coalesce(_canonical_once(F.when(rare, text)), F.when(~rare, native))
 
 
+def canonical_json(text: Column) -> Column:
+    """Canonical form of a JSON text column; null where it is not valid JSON."""
+    in_list = _in_list(text)
+    return _chosen(text, in_list, _is_rare(text, in_list))
+
+
+def with_canonical_json(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """As ``canonical_json``, as a column ``out``.
+
+    What is used more than once has a column of its own on the way, so that each text is parsed twice and not six times.
+    """
+    parsed = df.withColumn("__in_list", _in_list(F.col(text_col)))
+    told = parsed.withColumn("__rare", _is_rare(F.col(text_col), F.col("__in_list")))
+    done = told.withColumn(out, _chosen(F.col(text_col), F.col("__in_list"), F.col("__rare")))
+    return done.drop("__in_list", "__rare")
+
+
 def _fields(names: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(n).alias(n) for n in names]), {"ignoreNullFields": "false"})
 

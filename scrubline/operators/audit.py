@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubline.functions.canonical import canonical_json, entry_hash
+from scrubline.functions.canonical import canonical_json, entry_hash, with_canonical_json
 from scrubline.functions.risk import NAME_WARNING
 from scrubline.session import checkpoint_root
 
@@ -39,7 +39,7 @@ def with_entry_hash(
     df: DataFrame, key_order: list[str] | None = None, out: str = "entry_hash"
 ) -> DataFrame:
     """Hash every row's fields and metadata; null where the metadata is no JSON."""
-    hashed = df.withColumn("__canonical", canonical_json(F.col("metadata_json")))
+    hashed = with_canonical_json(df, "metadata_json", "__canonical")
     return hashed.withColumn(out, entry_hash(F.col("__canonical"), key_order)).drop("__canonical")
 
 

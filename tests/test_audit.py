@@ -94,3 +94,16 @@ def test_list_length_is_held_in_range(spark):
 def test_metrics_of_an_empty_table(spark):
     row = audit.audit_metrics(spark.createDataFrame([], audit.AUDIT_SCHEMA)).first()
     assert (row.total_entries, row.failure_count, row.by_action) == (0, 0, {})
+
+
+def test_each_metadata_text_is_parsed_twice_only(spark):
+    """The same canonical form as the column function gives, and no expression of it copied."""
+    from scrubline.functions.canonical import with_canonical_json
+
+    texts = ['{"b": 1, "a": [2, 3]}', '{"z": 12.0}', "[1", "1 2", "", None, '{"k": 1e7}', '{"a": 1, "a": 2}', "null", "[" * 200 + "]" * 200]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, metadata_json string")
+    done = with_canonical_json(rows, "metadata_json", "out").withColumn("want", canonical_json(F.col("metadata_json")))
+    assert all(r.out == r.want for r in done.collect())
+    events = rows.select("metadata_json", *[F.lit("x").alias(c) for c in ("ts", "actor", "role", "action", "resource", "outcome")])
+    plan = audit.with_entry_hash(events)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("VariantExpressionEvalUtils.parseJson") == 2
