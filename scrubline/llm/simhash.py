@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import bodies, by_bytes, small_or_shuffled, stored
@@ -36,6 +36,9 @@ COMPARED_AT_ONCE = 1 << 20
 # the rule of near copies: shingles of so many words, and the share in tenths that two sets have in common
 SHINGLE_WORDS = 5
 LEAST_TENTHS = 8
+# sets, and shingles of sets, that one side of a comparison holds; they decide the way only, not the result
+CELL_SETS = 4096
+CELL_SHINGLES = 1 << 20
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -282,28 +285,97 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"10 * shared >= {LEAST_TENTHS} * (nx + ny - shared)").select("a", "b")
 
 
-def _rare_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): keys of different groups of a block that may be alike, of members (key, block, own, shingles).
+def group_links(own: np.ndarray, sets: list[np.ndarray], firsts: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs of alike sets that connect the groups ``own`` of the sets just as all their alike pairs do.
 
-    Of two sets alike by the rule, each holds a shingle of the other among its own rarest; how many of these are looked at
-    follows from the size of the set, so no pair is lost.  At the first shingle that two sets share, in order of rarity, what lies behind it
-    in the smaller rest is all they can share besides; a pair for which that is too little is not made.
+    With ``firsts``, only pairs of one of the first so many sets with one of the others count.  How many shingles two sets share is
+    counted from lists of the holders of a shingle, or, for shingles that very many hold, by a matrix product of bounded slices.
     """
-    each = members.select("key", "block", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    spread = each.groupBy("block", "s").agg(F.count(F.lit(1)).alias("times"), F.min("own").alias("low"), F.max("own").alias("high"))
-    order = Window.partitionBy("key").orderBy("times", "s")
-    looked_at = (
-        each.join(spread, ["block", "s"]).withColumn("place", F.row_number().over(order))
-        .where(f"place <= n - ceil({LEAST_TENTHS} * n / 10) + 1 AND low < high").select("block", "s", "key", "own", "n", "place")
-    )
-    looked_at = stored(looked_at, "rare-shingles")
-    one, two = looked_at.alias("one"), looked_at.alias("two")
-    near = (
-        "one.block = two.block AND one.s = two.s AND one.own < two.own "
-        f"AND 10 * one.n >= {LEAST_TENTHS} * two.n AND 10 * two.n >= {LEAST_TENTHS} * one.n "
-        f"AND {10 + LEAST_TENTHS} * (1 + least(one.n - one.place, two.n - two.place)) >= {LEAST_TENTHS} * (one.n + two.n)"
+    label = np.unique(own, return_inverse=True)[1]
+    n, m = np.array([len(s) for s in sets], np.int64), len(sets)
+    rows, columns = (m, slice(0, m)) if firsts is None else (firsts, slice(firsts, m))
+    if not m or label.min() == label.max() or columns.start == m or not rows:
+        return []
+    flat, holder = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+    held = np.diff(np.append(first, len(flat)))
+    shared = np.zeros((rows, m - columns.start), np.float32)
+    if len(first):
+        several = np.minimum.reduceat(label[holder], first) < np.maximum.reduceat(label[holder], first)
+        common = held > max(64, m // 8)
+        # few holders: every pair of them, those so many places apart in a shingle's list at a time
+        few = np.flatnonzero(np.repeat(several & ~common, held))
+        who, left = holder[few], (np.repeat(first + held, held) - np.arange(len(flat)))[few]
+        at, apart = np.arange(len(few)), 0
+        while True:
+            apart += 1
+            at = at[left[at] > apart]
+            if not len(at):
+                break
+            x, y = who[at], who[at + apart]
+            across = (x < rows) & (y >= columns.start)
+            np.add.at(shared.reshape(-1), x[across] * shared.shape[1] + y[across] - columns.start, np.float32(1))
+        many = np.flatnonzero(several & common)
+        for start in range(0, len(many), 1024):
+            some = many[start : start + 1024]
+            has = np.zeros((m, len(some)), np.float32)
+            for k, s in enumerate(some):
+                has[holder[first[s] : first[s] + held[s]], k] = 1
+            shared += has[:rows] @ has[columns].T
+    found = []
+    for x in range(rows):
+        alike = (10 + LEAST_TENTHS) * shared[x].astype(np.int64) >= LEAST_TENTHS * (n[x] + n[columns])
+        alike &= label[columns] != label[x]
+        if firsts is None:
+            alike[: x + 1] = False
+        y = np.flatnonzero(alike) + columns.start
+        if len(y):
+            others, place = np.unique(label[y], return_index=True)
+            found += [(x, int(k)) for k in y[place]]
+            label[np.isin(label, others)] = label[x]
+    return found
+
+
+def _open_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): keys of alike sets that connect the groups of a block wherever two sets of different groups are alike.
+
+    ``members`` (key, block, own, n) are stored; n is the size of the set.  A block of bounded size is compared in one task.  A larger one is cut
+    into bands of like size, sets of bands that are no neighbours not being alike, and bands into cells of bounded size; each
+    two cells that may hold alike sets meet in a task of their own, so that all pairs are looked at and no task or table holds them.
+    """
+    sums = [F.count(F.lit(1)).alias("held"), F.sum("n").alias("total")]
+    blocks = stored(members.groupBy("block").agg(*sums), "block-sizes")
+    large = F.expr(f"held > {CELL_SETS} OR total > {CELL_SHINGLES}")
+    # sizes of alike sets differ by a factor of 10 / LEAST_TENTHS at most, which is less than a band's
+    band = F.when(large, F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(10.08 / LEAST_TENTHS)))).otherwise(F.lit(0))
+    banded = members.join(small_or_shuffled(blocks), "block").select("key", "block", "own", "n", band.cast("long").alias("band"))
+    cells = banded.groupBy("block", "band").agg(*sums).select(
+        "block", "band", F.ceil(F.greatest(F.col("held") / CELL_SETS, F.col("total") / CELL_SHINGLES, F.lit(1))).cast("int").alias("parts")
     )
-    return one.join(two, F.expr(near)).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
+    cells = stored(cells, "cells")
+    for name, step in (("here", 0), ("above", 1), ("below", -1)):
+        near = cells.select("block", (F.col("band") - step).alias("band"), F.col("parts").alias(name))
+        banded = banded.join(small_or_shuffled(near), ["block", "band"], "left")
+    units = """concat(
+        transform(sequence(0, here - 1), q -> struct(band AS lo, least(part, q) AS lo_part, band AS hi, greatest(part, q) AS hi_part, part > q AS second)),
+        filter(transform(sequence(0, coalesce(above, 0)), q -> struct(band AS lo, part AS lo_part, band + 1 AS hi, q AS hi_part, false AS second)),
+               u -> u.hi_part < coalesce(above, 0)),
+        filter(transform(sequence(0, coalesce(below, 0)), q -> struct(band - 1 AS lo, q AS lo_part, band AS hi, part AS hi_part, true AS second)),
+               u -> u.lo_part < coalesce(below, 0)))"""
+    part = F.pmod(F.xxhash64("key"), F.col("here").cast("long")).cast("int")
+    placed = banded.withColumn("part", part).select("key", "block", "own", F.expr(units).alias("units"))
+    met = placed.join(sets, "key").select("key", "block", "own", "shingles", F.explode("units").alias("u")).select("key", "block", "own", "shingles", "u.*")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("second", kind="stable")
+        firsts = int((~rows["second"]).sum()) if key[1:3] != key[3:5] else None
+        keys = rows["key"].to_numpy()
+        pairs = np.array(group_links(rows["own"].to_numpy(), rows["shingles"].tolist(), firsts), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": keys[pairs[:, 0]], "b": keys[pairs[:, 1]]})
+
+    return met.groupBy("block", "lo", "lo_part", "hi", "hi_part").applyInPandas(compare, "a long, b long")
 
 
 def verified_groups(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,7 +416,8 @@ def verified_groups(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_
         "members",
     )
     open_blocks = members.groupBy("block").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("block")
-    more = _alike(_rare_pairs(members.join(open_blocks, "block", "left_semi").join(sets, "key")), sets)
+    sizes = sets.select("key", F.size("shingles").alias("n"))
+    more = _open_links(stored(members.join(open_blocks, "block", "left_semi").join(sizes, "key"), "open-members"), sets)
     groups = components(linked.unionByName(more), "a", "b")
     placed = stored(
         rows.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("component", "key").alias("component")),

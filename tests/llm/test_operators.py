@@ -508,3 +508,34 @@ def test_copies_take_no_places_in_the_language_sample(spark, monkeypatch):
     monkeypatch.setattr(language_id, "fit", lambda windows, truth, labels: seen.append(len({w.tobytes() for w in windows})))
     language_id.train(frame(spark, rows), F.lit(True), docs_each=10)
     assert seen == [10]
+
+
+@pytest.mark.parametrize("cell", [4096, 7])
+def test_groups_of_a_large_block_are_joined_without_a_table_of_its_pairs(spark, monkeypatch, cell):
+    """Groups are those of all pairs, and each comparison yields fewer links than it has sets, however many share a shingle."""
+    monkeypatch.setattr(simhash, "CELL_SETS", cell)
+    rng = np.random.default_rng(5)
+    sets = {}
+    for k in range(150):
+        kept = rng.choice(100, rng.integers(55, 101), replace=False) if k % 2 else np.arange(100)[rng.integers(0, 8) : 100 - rng.integers(0, 8)]
+        sets[k] = sorted({*map(int, kept), *(1000 + 50 * k + j for j in range(rng.integers(0, 14)))})
+    alike = [(a, b) for a in sets for b in sets if a < b and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})]
+
+    def groups(pairs):
+        least = {k: k for k in sets}
+        for a, b in pairs:
+            low, high = sorted((least[a], least[b]))
+            least = {k: low if m == high else m for k, m in least.items()}
+        return least
+
+    want = groups(alike)
+    assert len(alike) > 1_000 and 20 < len(set(want.values())) < 130
+    members = spark.createDataFrame([(k, 9, k, len(s)) for k, s in sets.items()], "key long, block long, own long, n int")
+    table = spark.createDataFrame([(k, s) for k, s in sets.items()], "key long, shingles array<long>")
+    found = [(r["a"], r["b"]) for r in simhash._open_links(members, table).collect()]
+    assert groups(found) == want
+    assert cell < len(sets) or len(found) == len(sets) - len(set(want.values()))
+    # given groups, only what lies between them is linked
+    halves = {k: g if k % 3 else k for k, g in want.items()}
+    indices = simhash.group_links(np.array([halves[k] for k in sets]), [np.array(s, np.int64) for s in sets.values()])
+    assert len(indices) == len(set(halves.values())) - len(set(want.values()))
