@@ -70,15 +70,21 @@ def like_order(queries: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to the smaller id, and the multiplications spent."""
+    """The k best (score, id) of each query so far, ties to the smaller id, and the multiplications and sorted rows spent."""
 
     def __init__(self, queries: int, k: int):
         self.k, self.kth, self.products = k, np.full(queries, -np.inf), 0
+        self.sorted = 0
         self.query, self.score, self.id = (np.empty(0, t) for t in (np.int64,) * 3)
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        query, ids = np.concatenate([self.query, query]), np.concatenate([self.id, ids])
-        score = np.concatenate([self.score, score])
+        if not len(query):
+            return
+        # rows lie in order of their queries; only those from the first to the last query given are sorted anew
+        low, high = np.searchsorted(self.query, [query.min(), query.max() + 1])
+        query, ids = np.concatenate([self.query[low:high], query]), np.concatenate([self.id[low:high], ids])
+        score = np.concatenate([self.score[low:high], score])
+        self.sorted += len(query)
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         first = np.searchsorted(query, query, side="left")
@@ -86,7 +92,10 @@ class Best:
         kept = place < self.k
         last = place == self.k - 1
         self.kth[query[last]] = score[last].astype(np.float64)
-        self.query, self.score, self.id = query[kept], score[kept], ids[kept]
+        self.query, self.score, self.id = (
+            np.concatenate([old[:low], new[kept], old[high:]])
+            for old, new in ((self.query, query), (self.score, score), (self.id, ids))
+        )
 
 
 def _kth(sums: np.ndarray, query_ids: np.ndarray, base_ids: np.ndarray, k: int) -> np.ndarray:

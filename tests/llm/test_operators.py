@@ -109,6 +109,20 @@ def test_bounds_lose_nothing_to_ties_and_large_numbers(scale):
         assert best.id[best.query == q].tolist() == ids[order].tolist()
 
 
+def test_rows_of_other_queries_are_not_sorted_again():
+    rng = np.random.default_rng(6)
+    base, ids = rng.integers(-60, 60, (16, 2_000)), rng.permutation(2_000)
+    best = topk.Best(400, 20)
+    for at in range(0, 2_000, 500):
+        topk.search(base[:, :400], ids[:400], base[:, at : at + 500], ids[at : at + 500], best)
+    # a tile's own rows and the new ones, not the rows of all queries for each tile
+    assert best.sorted < 4 * 3 * 400 * 20
+    scores = base[:, :400].T @ base
+    for q in range(0, 400, 7):
+        order = [i for i in np.lexsort((ids, -scores[q])) if i != q][:20]
+        assert best.id[best.query == q].tolist() == ids[order].tolist() and best.score[best.query == q].tolist() == scores[q][order].tolist()
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 300_000
     pages = [(1, "http://a", "same " * 40), (2, "http://b c\n", "same " * 40), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "ü", big + "é")]
