@@ -357,6 +357,57 @@ def test_bits_are_those_of_a_distribution():
     assert chance.sum() == pytest.approx(1, abs=1e-4)
 
 
+def slow_bits(mixer, tables, text):
+    """The bits of one text, bit by bit: what it learns moves after each block by sums over the block."""
+    cm, text = context_mixing, text.lower() + context_mixing.END
+    data, at = cm.padded([text])
+    steps = [(np.stack(taken) / cm.SCALE, partial, bit) for taken, partial, bit in cm.inputs(tables, data, at)]
+    weights, refined, last, spent = mixer.weights.astype(float), mixer.refined.astype(float), mixer.last.astype(float), 0.0
+    for start in range(0, len(text), cm.BLOCK):
+        end = min(start + cm.BLOCK, len(text))
+        base, more, cells, ends = np.zeros((8, 4)), np.zeros((8, 4)), np.zeros_like(refined), np.zeros(2)
+        for place, (x, partial, bit) in enumerate(steps):
+            for k in range(start, end):
+                known = int(x[-1, k] != 0)
+                total = np.clip(weights[place, known] @ x[:, k], -11, 11)
+                where = place, partial[k], int(np.float32(total) * np.float32((cm.LEVELS - 1) / 24) + np.float32(cm.LEVELS / 2))
+                fine = np.clip(refined[where], -11, 11)
+                chance = 1 / (1 + math.exp(-np.clip(last @ [total, fine], -20, 20)))
+                spent -= math.log2(chance if bit[k] else 1 - chance)
+                miss = bit[k] - chance
+                base[place] += miss * x[:, k]
+                more[place] += known * miss * x[:, k]
+                cells[where] += miss
+                ends += [miss * total, miss * fine]
+        n = end - start
+        limit = lambda moved: np.clip(moved * last[0] * cm.GATED_RATE / math.sqrt(n), -cm.GATED_MOVE, cm.GATED_MOVE)
+        weights[:, 0] += limit(base)
+        weights[:, 1] += limit(base) + limit(more)
+        refined += cm.CELL_RATE * last[1] * cells
+        last = np.clip(last + cm.RATE * ends / math.sqrt(8 * n), 0, 1.5)
+    return spent
+
+
+def test_all_weights_move_while_a_text_is_read(monkeypatch):
+    rng = np.random.default_rng(2)
+    tables = rng.integers(-60, 60, (len(context_mixing.ORDERS), context_mixing.SLOTS)).astype(np.int8)
+    tables[-1][rng.random(context_mixing.SLOTS) < 0.5] = 0
+    text = b" ".join(b"w%d" % w for w in rng.integers(0, 30, 900))
+    mixer = context_mixing.fit_mixer(tables, [text[:400] + context_mixing.END])
+    found = context_mixing.bits_of(mixer, tables, [b"other", text, b"", text])
+    assert found[1] == found[3] == pytest.approx(slow_bits(mixer, tables, text), rel=1e-3)
+    monkeypatch.setattr(context_mixing, "PORTION", 1024)
+    assert context_mixing.bits_of(mixer, tables, [b"other", text, b""]) == pytest.approx(found[:3], rel=1e-5)
+    # weights that begin far off come closer
+    worse = context_mixing.Mixer(mixer.weights * np.float32(0.2), mixer.refined, mixer.last)
+    reads = lambda: context_mixing.bits_of(worse, tables, [text * 3])[0]
+    moving = reads()
+    monkeypatch.setattr(context_mixing, "GATED_RATE", 0)
+    still = reads()
+    monkeypatch.setattr(context_mixing, "CELL_RATE", 0)
+    assert moving < still and moving < reads()
+
+
 def test_decontamination(spark, odd, none):
     changed = PASSAGE.split()
     changed[4], changed[11] = "HARBOR", "listen"
