@@ -1,12 +1,15 @@
 """The gate, access review and reply classification on small tables."""
 
+import datetime
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from scrubline.functions.policy import policy_reason
 from scrubline.functions.prompts import REFUSAL_BODY, reply_error, reply_outcome, strip_tokens
 from scrubline.operators import access, gate
+from scrubline.plans import queries
 from scrubline.sources.requests import REQUEST_SCHEMA, fill_skill, read_scenarios
 from scrubline.session import scratch_path
 
@@ -129,3 +132,14 @@ def test_errors_without_a_body_or_status_still_say_what_happened(spark):
     found = {r.request_id: r for r in gate.audit_metadata(gate.detail(decided)).collect()}
     assert [found[k].detail for k in (1, 2, 3)] == ["http error: ", "api error (502): ", "api error (unknown): "]
     assert '"error":"api error (502): "' in found[2].metadata_json
+
+
+def test_streamed_requests_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    day = datetime.datetime(2024, 1, 5)
+    rows = [(k, k % 7, day, "1-URGENT") for k in range(200)] + [(3, 3, day, None), (None, 1, day, None)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    found = queries.stream_gate(spark, str(tmp_path))
+    assert sorted(str(r["request_id"]) for r in found.collect()) == sorted(str(k) for k, *_ in rows)
+    assert len(list(Path(tmp_path, "requests").glob("*.parquet"))) > 1
