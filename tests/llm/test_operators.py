@@ -5,8 +5,10 @@ import io
 import math
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -408,6 +410,40 @@ def test_all_weights_move_while_a_text_is_read(monkeypatch):
     assert moving < still and moving < reads()
 
 
+def test_words_are_cut_and_hashed_as_bytes(spark):
+    rows = [b"  The tale\x0bof\x1ca \xc3\x89t\xc3\xa9\r\n", b"", b" \t", b"\xff Z z", b"end"]
+    for whole, texts in ((pa.array(rows, pa.binary()), rows), (pa.array(rows, pa.binary())[2:], rows[2:]), (pa.array([b""], pa.binary()), [b""])):
+        words, ends = context_mixing.words_of(whole)
+        assert [words.to_pylist()[i:j] for i, j in pairwise(ends.tolist())] == [t.lower().split() for t in texts]
+        want = spark.createDataFrame([(k, bytearray(w)) for k, w in enumerate(words.to_pylist())], "k int, w binary").orderBy("k").select(F.xxhash64("w").alias("h")).collect()
+        assert context_mixing.hashes_of(words).view(np.int64).tolist() == [r["h"] for r in want]
+    assert len(context_mixing.hashes_of(pa.array([], pa.binary()))) == 0
+
+
+def test_contexts_of_words_do_not_depend_on_what_was_read_before():
+    texts = [b"one two  three", b"", b"two", b"a" * 40_000 + b" two"]
+    powers = context_mixing.Powers()
+    found = []
+    for text in texts:
+        data, at = context_mixing.padded([text + context_mixing.END])
+        for order in context_mixing.ORDERS:
+            own = context_mixing.contexts(data, order, powers)
+            assert np.array_equal(own, context_mixing.contexts(data, order))
+        found.append(context_mixing.contexts(data, context_mixing.WORD, powers)[at - 8])
+    assert found[2][3] == found[0][7] == found[3][-1] and len({*found[0][:4].tolist()}) == 4
+
+
+def test_scoring_keeps_to_the_cells_that_can_occur():
+    """A text's own copy of the refinement holds 256 rows of levels, not eight times as many, and a block walks over no more."""
+    rng = np.random.default_rng(4)
+    tables = rng.integers(-60, 60, (len(context_mixing.ORDERS), context_mixing.SLOTS)).astype(np.int8)
+    mixer = context_mixing.fit_mixer(tables, [b"some text to fit" + context_mixing.END])
+    learner = context_mixing.Learner(mixer)
+    assert learner.refined.size == 256 * context_mixing.LEVELS
+    cells = learner.refined.reshape(256, context_mixing.LEVELS)
+    assert all(np.array_equal(cells[1 << bit | p], mixer.refined[bit, p]) for bit in range(8) for p in range(1 << bit))
+
+
 def test_decontamination(spark, odd, none):
     changed = PASSAGE.split()
     changed[4], changed[11] = "HARBOR", "listen"
