@@ -4,12 +4,13 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from scrubline.functions import policy, prompts, risk
-from scrubline.functions.matching import RuleRunner, fast_form, needs, read_once, shape, shapes, skipping, starting
+from scrubline.functions import matching, policy, prompts, risk
+from scrubline.functions.matching import ColumnRunner, RuleRunner, fast_form, for_columns, needs, read_once, shape, shapes, skipping, starting
 from scrubline.functions.rules import CATEGORIES, PASSES, RULES, Rule
 from scrubline.operators.scrub import scrub
 from scrubline.plans import inputs
@@ -215,3 +216,64 @@ def test_few_rules_are_tried():
                     matched += 1
                     found |= brings
     assert matched >= 7 and tried <= matched + 4
+
+
+def column_results(runner, texts):
+    """(text, numbers of replacements by category) of each text."""
+    return [(t, {c: int(n) for c, n in zip(CATEGORIES, own) if n}) for some, counts in runner.run(pa.array(texts, pa.string())) for t, own in zip(some.to_pylist(), counts)]
+
+
+def test_columns_are_scrubbed_like_single_texts(monkeypatch):
+    """Nulls, empty and equal texts, other alphabets, odd white space, and neighbours that a match could reach into."""
+    monkeypatch.setattr(matching, "LEAST_BYTES", 0)
+    texts = [*random_texts(3_000, 8), None, "", " ", "MRN\x0b12", "MRN\x1c12", "x\x01y SSN 123-45-6789", "é MRN 12", "MRN 5", "MRN 5", "12345 12345-12345(312) 448-1000"]
+    runner = ColumnRunner(RULES, CATEGORIES, PASSES)
+    assert runner.by_column
+    want = [(t, {}) if not t else straight(t, RULES, re if t.isascii() and "\x1c" not in t else regex) for t in texts]
+    assert column_results(runner, texts) == want
+    monkeypatch.setattr(matching, "COLUMN_BYTES", 100)
+    assert column_results(runner, texts) == want
+    assert column_results(runner, []) == []
+
+
+def test_patterns_that_engines_may_read_apart_run_one_by_one(monkeypatch):
+    monkeypatch.setattr(matching, "LEAST_BYTES", 0)
+    assert all(for_columns(r.pattern) for r in RULES)
+    for pattern in (r"x*", r"(?:a?)+b", r"a(?=b)", r"(a)\1", r"^a", r"a$", r"a.b", r"(?i)ſon", r"[ı]", "é", r"a{,3}b", r"\101", r"[[:alpha:]]", r"(", r"a\Z"):
+        assert not for_columns(pattern), pattern
+    rules = [Rule("a", "name", r"\bward(?=\d)", "[WARD]"), Rule("b", "date", r"(\d)-(\d)", r"$2\$1")]
+    runner = ColumnRunner(rules, CATEGORIES, 2)
+    assert not runner.by_column
+    assert column_results(runner, ["ward7 1-2", "ward 7"]) == [("[WARD]7 2\\1", {"name": 1, "date": 1}), ("ward 7", {})]
+    assert column_results(ColumnRunner(rules[1:], CATEGORIES, 1), ["1-2-3"]) == [("2\\1-3", {"date": 1})]
+    assert column_results(ColumnRunner([], CATEGORIES, 2), ["a", None]) == [("a", {}), (None, {})]
+
+
+def test_long_columns_take_linear_time():
+    """Blanks, digits, marks and repeated labels; a quadratic form needs minutes for one of them."""
+    runner = ColumnRunner(RULES, CATEGORIES, PASSES)
+    for r in RULES[::4]:
+        for text in list(hostile(r, 200_000))[::3]:
+            start = time.perf_counter()
+            assert len(column_results(runner, [text])) == 1
+            assert time.perf_counter() - start < 5, r.name
+
+
+def test_many_texts_are_scrubbed_in_little_time():
+    """Rules run over columns: row by row, texts with many matches took three times as long."""
+    texts = [f"Patient Ida Voss seen 01/02/2024. Age: {k % 100}. MRN: M-{k}. Ref #{1000 + k}. mail u{k}@mail.ward.test. Sex: M" * 2 for k in range(8_000)]
+    runner = ColumnRunner(RULES, CATEGORIES, PASSES)
+    took = []
+    for run in (lambda: column_results(runner, texts), lambda: [runner.plain.run(t) for t in texts]):
+        start = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - start)
+    assert took[0] < 0.7 * took[1], took
+
+
+def test_dealing_rows_needs_no_sort(spark):
+    """Rows dealt in turn are sorted first, by the one task that reads a file of one row group."""
+    dealt = inputs.spread(spark.range(1000).selectExpr("id", "id % 7 AS k", "cast(null AS string) AS empty"))
+    assert "RoundRobin" not in dealt._jdf.queryExecution().toString()
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and len(sizes) == inputs.TASKS_A_CORE * spark.sparkContext.defaultParallelism
