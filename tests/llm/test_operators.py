@@ -640,3 +640,55 @@ def test_groups_of_a_large_block_are_joined_without_a_table_of_its_pairs(spark,
     halves = {k: g if k % 3 else k for k, g in want.items()}
     indices = simhash.group_links(np.array([halves[k] for k in sets]), [np.array(s, np.int64) for s in sets.values()])
     assert len(indices) == len(set(halves.values())) - len(set(want.values()))
+
+
+def test_mixer_is_fitted_on_all_training_texts(spark, monkeypatch):
+    """Every training text is read, once, against tables of all others but those of its fold; a start on a few texts changes nothing."""
+    cm = context_mixing
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8))) for _ in range(300)]
+    texts = [" ".join(words[w] for w in rng.zipf(1.3, 60) % 300) for _ in range(240)]
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate([*texts, texts[0], texts[1], None, ""])])
+    seen, fit = [], cm.fit_in_tasks
+    monkeypatch.setattr(cm, "fit_in_tasks", lambda *given: seen.append((*given, fit(*given))) or seen[-1][-1])
+    assert cm.score(docs).count() == 244
+    (parts, learned, folds, mixer), = seen
+    rows = [(bytes(r["body"]), r["kept"]) for r in learned.collect()]
+    want = [body(t) for k, t in enumerate([*texts, texts[0], texts[1], None, ""]) if zlib.crc32(str(k).encode()) % 10]
+    assert Counter(t for t, _ in rows) == Counter(want) and len({f for _, f in rows}) == folds and len(dict(rows)) == len(set(rows))
+    # the tables are those of plain counts without the fold
+    own = {f: cm.slot_tables(parts, "without", f) for f in range(1, folds + 1)}
+    for left in (1, folds):
+        others = spark.createDataFrame([(t, False) for t, f in rows if f != left], "body binary, kept boolean")
+        assert np.array_equal(own[left], cm.slot_tables(cm.count_tables(others), "full"))
+    every = spark.createDataFrame([(t, False) for t, _ in rows], "body binary, kept boolean")
+    assert np.array_equal(cm.slot_tables(parts, "full"), cm.slot_tables(cm.count_tables(every), "full"))
+    once = [[t for t, f in set(rows) if f == fold] for fold in own]
+    summed = lambda of: lambda weights: sum(of(weights, own[f + 1], some) for f, some in enumerate(once))
+    expected = cm.fitted(summed(cm.slopes_of), summed(cm.cells_of))
+    assert np.allclose(mixer.weights, expected.weights, atol=1e-2) and np.abs(mixer.refined - expected.refined).mean() < 1e-2
+    assert cm.cells_of(expected.weights, own[1], sum(once, []))[0].sum() == 8 * sum(len(t) + 1 for t in set(want))
+    monkeypatch.setattr(cm, "FIRST_TEXTS", 3)
+    cost = lambda weights: summed(cm.slopes_of)(weights)[:, :, 0].sum()
+    assert cost(fit(parts, learned, folds).weights) == pytest.approx(cost(expected.weights), rel=1e-3)
+
+
+def test_sums_of_the_fit_are_those_of_single_bits():
+    """Cost, slope, curvature and cells of each bit by itself."""
+    cm, rng = context_mixing, np.random.default_rng(4)
+    tables = rng.integers(-60, 60, (len(cm.ORDERS), cm.SLOTS)).astype(np.int8)
+    tables[-1][rng.random(cm.SLOTS) < 0.5] = 0
+    weights, texts = rng.normal(0.3, 0.1, (8, 2, 4)), [b"one text", b"", b"and a second one \xc3\xa9"]
+    sums, cells = np.zeros((8, 2, 21)), np.zeros((2, 8, 256, cm.LEVELS))
+    for text in texts:
+        data, at = cm.padded([text + cm.END])
+        for place, (taken, partial, bits) in enumerate(cm.inputs(tables, data, at)):
+            for k, bit in enumerate(bits):
+                x, gate = np.array([t[k] for t in taken]) / cm.SCALE, int(taken[-1][k] != 0)
+                total = float(np.clip(x @ weights[place, gate], -11, 11))
+                chance = 1 / (1 + math.exp(-total))
+                bend = np.outer(x, x).reshape(-1) * chance * (1 - chance)
+                sums[place, gate] += [math.log1p(math.exp(total * (1 - 2 * int(bit)))), *((chance - bit) * x), *bend]
+                cells[:, place, partial[k], int(cm.level(np.float32(total)))] += [1, bit]
+    assert np.allclose(cm.slopes_of(weights, tables, texts), sums, rtol=1e-4, atol=1e-4)
+    assert np.array_equal(cm.cells_of(weights, tables, texts).reshape(cells.shape), cells)
